@@ -33,7 +33,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import id_text, slices, table
 
 #: Bytes from which a piece without a split is encoded in halves.
 LONG_PIECE = 256
@@ -161,7 +161,7 @@ def _rows(doc_ids: list, encoded: list[list[int] | None], same: list[bool | None
 def encode(docs: DataFrame, vocabulary: str | None = None, long_text: int = LONG_TEXT) -> DataFrame:
     """One row for each document: its tokens, and whether decoding them gives the text back."""
     vocabulary = vocabulary or default_vocabulary()
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = id_text(docs)
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     def whole(batches):

@@ -5,15 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker looks at together.
 SLICE_BYTES = 2 << 20
+#: MB up to which a side of a join is broadcast.
+BROADCAST_MB = 32
+#: ASCII letters in lower case, digits and all bytes beyond ASCII as they are, else a blank.
+FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +58,53 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place, so that no two names clash."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def pick(df: DataFrame, **kinds: str) -> DataFrame:
+    """The columns of exactly these names, cast; of several with one name, the first. Other columns may have any name."""
+    return flat(df).select(*[F.col(f"c{df.columns.index(name)}").cast(kind).alias(name) for name, kind in kinds.items()])
+
+
+def id_text(docs: DataFrame) -> DataFrame:
+    return pick(docs, doc_id="long", text="string")
+
+
+def keep_rows(docs: DataFrame, decider: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+    """The rows whose text is decided to stay, all columns as they are; rows move nowhere. A task calls ``decider`` once."""
+    plain, at = flat(docs), docs.columns.index("text")
+
+    def run(batches):
+        decide = decider()
+        for batch in batches:
+            for part in slices(batch, f"c{at}"):
+                yield part.filter(pa.array(decide(part.column(at).cast(pa.string())), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def join_side(df: DataFrame, side: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+    """Join ``df`` with a ``side`` that is broadcast if it is small enough, and else hashed after a shuffle."""
+    side = checkpoint(side)
+    small = side.count() * row_bytes <= BROADCAST_MB << 20
+    return df.join(F.broadcast(side) if small else side.hint("shuffle_hash"), on, how)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone``; of rows with the same doc_id and text, one.
+
+    Rows with a null doc_id stay.
+    """
+    key, text = f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
+    left = join_side(flat(docs), gone.select(F.col("doc_id").alias(key)), key, "left_anti", 16)
+    again = checkpoint(left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    if not again.isEmpty():
+        left = join_side(left, again, key, "left_anti", 16).unionByName(join_side(left, again, key, "left_semi", 16).dropDuplicates([key, text]))
+    return left.toDF(*docs.columns)
+
+
 def as_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_vocabulary
-from .common import slices, table
+from .common import id_text, slices, table
 
 BLOCK = 512
 SCHEMA = "doc_id long, n_tokens int, n_bytes int, payload binary"
@@ -110,7 +110,7 @@ def write_ids(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 columns = [part.column("doc_id"), [None if e is None else len(e) for e in ids], [None if p is None else len(p) for p in packed], packed]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x for x, f in zip(columns, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return id_text(docs).mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8_buffer
+from .common import FOLD, id_text, keep_rows, pick, slices, table, utf8_buffer
 
 WORDS = 13
 #: Test strings shorter than this are searched apart, so that they don't shorten the others' skips.
@@ -32,12 +32,11 @@ SHORT = 32
 #: Bytes of benchmark text that one pass over the documents looks for.
 PASS_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, hits int, first_at int"
-_FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
 def fold(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """Each text folded, with one blank before and after it."""
-    out = _FOLD[data]
+    out = FOLD[data]
     stay = np.ones(len(out), bool)
     stay[1:] = (out[1:] != 32) | (out[:-1] != 32)
     ends = np.concatenate([[0], np.cumsum(stay)])[offsets]
@@ -94,18 +93,18 @@ def matchers(patterns: dict[bytes, set[int]]) -> list[Matcher]:
 def _passes(benchmark: DataFrame) -> list[dict[bytes, set[int]]]:
     """Test strings in groups of bounded size. Benchmarks are small; one beyond a group is searched in several passes."""
     groups, size = [[]], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for r in pick(benchmark, item_id="long", text="string").where("item_id is not null and text is not null").toLocalIterator():
         if size > PASS_BYTES:
             groups.append([])
             size = 0
-        groups[-1].append((r["i"], r["t"]))
-        size += len(r["t"])
+        groups[-1].append((r["item_id"], r["text"]))
+        size += len(r["text"])
     return [p for g in groups if (p := test_strings(g))]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item whose test strings it has: how many occurrences, and where the first is in the folded text."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = id_text(docs)
 
     def searcher(patterns):
         def run(batches):
@@ -139,17 +138,14 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any test string, all columns as they are; rows move nowhere."""
 
     def cleaner(patterns):
-        def run(batches):
+        def decider():
             machines = matchers(patterns)
-            for batch in batches:
-                for part in slices(batch):
-                    clean = [not any(True for machine in machines for _ in machine.search(t)) for t in fold(*utf8_buffer(part.column("text")))]
-                    yield part.filter(pa.array(clean, pa.bool_()))
+            return lambda text: [not any(True for machine in machines for _ in machine.search(t)) for t in fold(*utf8_buffer(text))]
 
-        return run
+        return decider
 
     for patterns in _passes(benchmark):
-        docs = docs.mapInArrow(cleaner(patterns), docs.schema)
+        docs = keep_rows(docs, cleaner(patterns))
     return docs
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, slices, table, utf8_buffer
+from .common import as_batch, id_text, keep_rows, pick, slices, table, utf8_buffer
 
 GRAM, HASHES = 4, 3
 #: Labelled documents to train on, of each language.
@@ -97,6 +97,7 @@ def fit(texts: dict[str, list[str]]) -> Model:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` documents of each declared language, chosen by a hash of the id."""
+    docs = pick(docs, doc_id="long", lang="string", text="string")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang").withColumn("nth", rank).where(F.col("nth") <= rows).select("doc_id").distinct()
     texts: dict[str, list[str]] = {}
@@ -151,18 +152,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch):
                 yield as_batch([part.column("doc_id"), *decide(model, part.column("text"))], schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return id_text(docs).mapInArrow(run, SCHEMA)
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` in a known language, all columns as they are; rows move nowhere."""
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield part.filter(pa.array(decide(model, part.column("text"))[3]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, lambda: lambda text: decide(model, text)[3])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, dac, decontaminate, langid, token_count, toxicity
+from . import bpe, dac, decontaminate, langid, ngram_join, token_count, toxicity
 
 QUERIES = {
     "op2_bpe_codec": bpe.query,
+    "op3_ngram_join": ngram_join.query,
     "op5_token_dac": dac.query,
     "op6_toxicity": toxicity.query,
     "op7_language_id": langid.query,
     "op9_token_count": token_count.query,
     "op10_decontaminate": decontaminate.query,
 }
-SQL = {"op10_decontaminate": decontaminate.SQL}
+SQL = {"op3_ngram_join": ngram_join.SQL, "op10_decontaminate": decontaminate.SQL}

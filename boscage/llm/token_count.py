@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, default_vocabulary
-from .common import as_batch, slices, table
+from .common import as_batch, id_text, slices, table
 
 #: Words whose count a worker process remembers, and the longest of them.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 24
@@ -136,7 +136,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 text = part.column("text")
                 yield as_batch([part.column("doc_id"), pa.array(c.counts(text), mask=text.is_null().to_numpy(zero_copy_only=False))], schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batch, slices, table
+from .common import as_batch, id_text, keep_rows, pick, slices, table
 
 WINDOW, OVERLAP = 256, 16
 #: Labelled rows to fit on, of each class: toxic, ordinary.
@@ -148,9 +148,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model | None:
 
 def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Model | None:
     """Fit on at most ``rows`` labelled documents of each class, chosen by a hash of the id."""
-    said = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).cache()
+    said = pick(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).cache()
     picked = functools.reduce(DataFrame.unionByName, [said.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, rows[0]), (0, rows[1]))])
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").dropDuplicates(["doc_id"]).collect()
+    found = id_text(docs).join(F.broadcast(picked), "doc_id").where("text is not null").dropDuplicates(["doc_id"]).collect()
     said.unpersist()
     found.sort(key=lambda r: r["doc_id"])
     return fit(*([r["text"].encode() for r in found if r["toxic"] == k] for k in (1, 0)))
@@ -173,19 +173,17 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for part in slices(batch):
                 yield as_batch([part.column("doc_id"), *_verdicts(model, part.column("text"), scorer)], schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return id_text(docs).mapInArrow(run, SCHEMA)
 
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that aren't toxic, all columns as they are; rows move nowhere."""
 
-    def run(batches):
+    def decider():
         scorer = Scorer(model) if model else None
-        for batch in batches:
-            for part in slices(batch):
-                yield part.filter(pa.array([not x for x in _verdicts(model, part.column("text"), scorer)[2]]))
+        return lambda text: [not x for x in _verdicts(model, text, scorer)[2]]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, decider)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
