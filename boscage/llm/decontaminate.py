@@ -168,7 +168,7 @@ win AS (SELECT DISTINCT item_id, ' ' || array_to_string(w[k:k + {WORDS - 1}], '
 doc AS (SELECT doc_id, ' ' || {_folded('text')} || ' ' AS t FROM documents),
 hit AS (SELECT doc_id, item_id, s, t FROM doc JOIN win ON contains(t, s))
 SELECT doc_id, item_id,
-       CAST(sum(len(list_filter(range(1, len(t) + 1), p -> starts_with(t[p:], s)))) AS INTEGER) AS hits,
+       CAST(sum(len([p for p in range(1, len(t) + 1) if starts_with(t[p:], s)])) AS INTEGER) AS hits,
        CAST(min(octet_length(encode(t[1:instr(t, s) - 1]))) AS INTEGER) AS first_at
 FROM hit GROUP BY doc_id, item_id
 """

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, dac, decontaminate, langid, ngram_join, token_count, toxicity
+from . import bpe, dac, decontaminate, host_rules, langid, ngram_join, token_count, toxicity
 
 QUERIES = {
     "op2_bpe_codec": bpe.query,
@@ -8,7 +8,8 @@ QUERIES = {
     "op5_token_dac": dac.query,
     "op6_toxicity": toxicity.query,
     "op7_language_id": langid.query,
+    "op8_host_rules": host_rules.query,
     "op9_token_count": token_count.query,
     "op10_decontaminate": decontaminate.query,
 }
-SQL = {"op3_ngram_join": ngram_join.SQL, "op10_decontaminate": decontaminate.SQL}
+SQL = {"op3_ngram_join": ngram_join.SQL, "op8_host_rules": host_rules.SQL, "op10_decontaminate": decontaminate.SQL}
