@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, dac, decontaminate, host_rules, langid, ngram_join, token_count, toxicity
+from . import bpe, dac, decontaminate, host_rules, langid, ngram_join, token_count, toxicity, url_filter
 
 QUERIES = {
     "op2_bpe_codec": bpe.query,
     "op3_ngram_join": ngram_join.query,
+    "op4_url_filter": url_filter.query,
     "op5_token_dac": dac.query,
     "op6_toxicity": toxicity.query,
     "op7_language_id": langid.query,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_token_count": token_count.query,
     "op10_decontaminate": decontaminate.query,
 }
-SQL = {"op3_ngram_join": ngram_join.SQL, "op8_host_rules": host_rules.SQL, "op10_decontaminate": decontaminate.SQL}
+SQL = {"op3_ngram_join": ngram_join.SQL, "op4_url_filter": url_filter.SQL, "op8_host_rules": host_rules.SQL, "op10_decontaminate": decontaminate.SQL}
