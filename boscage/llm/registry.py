@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, dac, decontaminate, host_rules, langid, ngram_join, token_count, toxicity, url_filter
+from . import bpe, dac, decontaminate, host_rules, html_template, langid, ngram_join, token_count, toxicity, url_filter
 
 QUERIES = {
+    "op1_html_template": html_template.query,
     "op2_bpe_codec": bpe.query,
     "op3_ngram_join": ngram_join.query,
     "op4_url_filter": url_filter.query,
