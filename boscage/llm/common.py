@@ -58,6 +58,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, and read again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """``df`` with its columns named by place, so that no two names clash."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batch, checkpoint, join_side, pick, slices, table
+from .common import as_batch, checkpoint, join_side, pick, slices, stored, table
 
 SUPPORT, LEAST_PAGES, LEAST_SIZE = 0.5, 3, 3
 #: Tokens that a worker gathers before it looks which are frequent.
@@ -59,12 +59,10 @@ _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fields
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), **{t: ("p",) for t in _BLOCK - {"br", "li", "dt", "dd", "tr", "td", "th", "html", "head", "body", "title", "tbody", "thead", "tfoot"}}}
 #: An open tag of these hides what is open outside it from the tags that end one.
 _WALLS = frozenset("ul ol dl table select article section body html".split())
-_TOKEN = re.compile(
-    r"""(?P<skip><!--(?:.*?-->|.*\Z)|<(?P<raw>script|style)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>?)"""
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*>?"""
-    r"""|(?P<text>[^<]+|<)""",
-    re.S | re.I,
-)
+_SKIP = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>?", re.S | re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_LINES = re.compile(r" *\n[ \n]*")
+_QUOTED = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*'|["'])*""")
 _HOST = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -77,53 +75,128 @@ def _hash(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1
 
 
-def tokens(page: str) -> tuple[list[int], list[str | None]]:
-    """Key of each token, the page's own first, and its text: None for a tag, a line end for one that ends a line."""
-    keys, texts = [PAGE], [None]
-    open_names: list[str] = []
-    paths = [1]
-    opened: Counter[str] = Counter()
-    before = ""
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            where = f"{paths[-1]}\0"
-            for word in html.unescape(text).split():
-                keys.append(_hash(f"{where}{before}\0{word}") | 1)
-                texts.append(word)
-                before = word
-            continue
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        if m["end"]:
-            if not opened[name]:
-                continue
-            while True:
-                last = open_names.pop()
-                paths.pop()
-                opened[last] -= 1
-                if last == name:
-                    break
-            before = "</" + name
-        else:
-            ended = _ENDS.get(name)
-            if ended and any(opened[e] for e in ended):
-                at = len(open_names) - 1
-                while at >= 0 and open_names[at] not in ended and open_names[at] not in _WALLS:
-                    at -= 1
-                if at >= 0 and open_names[at] in ended:
-                    for gone in open_names[at:]:
-                        opened[gone] -= 1
-                    del open_names[at:], paths[at + 1 :]
-            before = "<" + name
-        keys.append((_hash(f"{paths[-1]}\0{before}") | 1) + 1)
-        texts.append("\n" if name in _BLOCK else None)
-        if not m["end"] and name not in _VOID and not m[0].endswith("/>"):
-            open_names.append(name)
-            opened[name] += 1
-            paths.append(_hash(f"{paths[-1]}/{name}"))
+class _Known(dict):
+    """Results of a function, remembered up to a number of them."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, x):
+        if len(self) > 500_000:
+            self.clear()
+        self[x] = found = self.function(x)
+        return found
+
+
+def _tag(head: str) -> tuple | None:
+    """Of what stands between angle brackets: name, whether it ends one, whether it stays open, what it ends, its text and hash."""
+    m = _NAME.match(head)
+    if not m:
+        return None
+    end, name = bool(m[1]), m[2].lower()
+    return name, end, not (end or name in _VOID or head.endswith("/")), None if end else _ENDS.get(name), "\n" if name in _BLOCK else "", _hash(("</" if end else "<") + name)
+
+
+_hash_of = _Known(_hash)
+_tag_of = _Known(_tag)
+_path_of = _Known(lambda x: _hash(f"{x[0]}/{x[1]}"))
+_place, _before, _self = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+
+
+def _uneven(head: str) -> bool:
+    return bool(head.count('"') % 2 or head.count("'") % 2)
+
+
+def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
+    """The tokens of many pages: their keys, the page's own first, where each page begins, and their texts.
+
+    A text is empty for a tag, and a line end for one that ends a line.
+    """
+    texts: list[str] = []
+    own: list[int] = []  # hash of the token by itself
+    run_path: list[int] = []  # runs of tokens: path, number, 0 for tags
+    run_size: list[int] = []
+    run_kind: list[int] = []
+    offsets = [0]
+    hash_of, tag_of, path_of = _hash_of.__getitem__, _tag_of.__getitem__, _path_of.__getitem__
+    for page in pages:
+        texts.append("")
+        own.append(0)
+        run_path.append(1)
+        run_size.append(1)
+        run_kind.append(0)
+        open_names: list[str] = []
+        paths = [1]
+        opened: dict[str, int] = defaultdict(int)
+        first = True
+        for part in _SKIP.sub("", page).split("<"):
+            if first:
+                first, text = False, part
+            else:
+                head, _, text = part.partition(">")
+                if ('"' in head or "'" in head) and _uneven(head):  # a closing bracket in quotes
+                    head = _QUOTED.match(part)[0]
+                    text = part[len(head) + 1 :]
+                tag = tag_of(head)
+                if tag is None:
+                    text = "<" + part
+                else:
+                    name, end, stays, ended, line, itself = tag
+                    if end:
+                        if not opened[name]:
+                            itself = 0
+                        while itself:
+                            last = open_names.pop()
+                            paths.pop()
+                            opened[last] -= 1
+                            if last == name:
+                                break
+                    elif ended:
+                        for e in ended:
+                            if opened[e]:
+                                at = len(open_names) - 1
+                                while at >= 0 and open_names[at] not in ended and open_names[at] not in _WALLS:
+                                    at -= 1
+                                if at >= 0 and open_names[at] in ended:
+                                    for gone in open_names[at:]:
+                                        opened[gone] -= 1
+                                    del open_names[at:], paths[at + 1 :]
+                                break
+                    if itself:
+                        own.append(itself)
+                        texts.append(line)
+                        run_path.append(paths[-1])
+                        run_size.append(1)
+                        run_kind.append(0)
+                        if stays:
+                            open_names.append(name)
+                            opened[name] += 1
+                            paths.append(path_of((paths[-1], name)))
+            if text:
+                words = (html.unescape(text) if "&" in text else text).split()
+                if words:
+                    texts += words
+                    own.extend(map(hash_of, words))
+                    run_path.append(paths[-1])
+                    run_size.append(len(words))
+                    run_kind.append(1)
+        offsets.append(len(texts))
+    count = np.array(run_size, np.int64)
+    itself = np.array(own, np.uint64)
+    tag = np.repeat(np.array(run_kind, np.int8) == 0, count)
+    before = np.zeros(len(itself), np.uint64)
+    before[1:] = itself[:-1]
+    before[tag] = 0
+    x = np.repeat(np.array(run_path, np.uint64), count) * _place + before * _before + itself * _self
+    x = (x ^ x >> np.uint64(32)) * _before
+    x = ((x ^ x >> np.uint64(29)) * _place) >> np.uint64(1)
+    keys = np.where(tag, x & ~np.uint64(1) | np.uint64(2), x | np.uint64(1)).astype(np.int64)
+    keys[np.array(offsets[:-1], np.int64)] = PAGE
+    return keys, offsets, texts
+
+
+def tokens(page: str) -> tuple[np.ndarray, list[str]]:
+    keys, _, texts = tokens_of([page])
     return keys, texts
 
 
@@ -131,10 +204,22 @@ def is_word(key: int) -> bool:
     return bool(key & 1)
 
 
-def _pages(batches, column: str = "html") -> Iterator[tuple[str | None, str | None, dict]]:
+def _tokenised(batches) -> Iterator[tuple[str, str, bytes | None, np.ndarray]]:
+    """Host, page, plan if there is one, and keys of each page."""
     for batch in batches:
-        for part in slices(batch, column):
-            yield from zip(part.column("host").to_pylist(), part.column(column).to_pylist(), part.select([n for n in part.schema.names if n not in ("host", column)]).to_pylist())
+        for part in slices(batch, "html"):
+            pages = part.column("html").to_pylist()
+            plans = part.column("plan").to_pylist() if "plan" in part.schema.names else [None] * len(pages)
+            keys, offsets, _ = tokens_of(pages)
+            for k, (host, page, plan) in enumerate(zip(part.column("host").to_pylist(), pages, plans)):
+                yield host, page, plan, keys[offsets[k] : offsets[k + 1]]
+
+
+def _found(batches) -> Iterator[tuple[str, bytes, np.ndarray]]:
+    """Host, plan and candidate tokens of each page."""
+    for batch in batches:
+        for host, plan, raw in zip(*(batch.column(n).to_pylist() for n in ("host", "plan", "keys"))):
+            yield host, plan, np.frombuffer(raw, np.int64)
 
 
 def _frequent(pages: DataFrame) -> DataFrame:
@@ -153,8 +238,8 @@ def _frequent(pages: DataFrame) -> DataFrame:
             return as_batch([hosts, found], schema)
 
         n = 0
-        for host, page, _ in _pages(batches):
-            held[host].append(np.unique(np.array(tokens(page)[0], np.int64)))
+        for host, _, _, keys in _tokenised(batches):
+            held[host].append(np.unique(keys))
             n += len(held[host][-1])
             if n > GATHERED:
                 yield send()
@@ -183,32 +268,47 @@ def _as_bytes(df: DataFrame, column: str) -> DataFrame:
     return df.select("host", column).mapInArrow(run, "host string, plan binary")
 
 
-def _counted(pages: DataFrame) -> DataFrame:
+def _hits(pages: DataFrame) -> DataFrame:
+    """(host, own, keys) for each page: a hash of it, and its tokens that are candidates, in order.
+
+    These are few of a page's tokens. They are written, so vectors, orders and nesting take no further look at the pages.
+    """
+
+    def run(batches):
+        schema = pa.schema([("host", pa.string()), ("own", pa.binary()), ("keys", pa.binary())])
+        for batch in batches:
+            rows = []
+            for host, page, plan, keys in _tokenised([batch]):
+                known = _known(plan)
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                rows.append((host, xxhash.xxh3_128_digest(f"{host}\0{page}".encode("utf-8", "surrogatepass")), keys[known[at] == keys].tobytes()))
+            if rows:
+                yield as_batch(list(zip(*rows)), schema)
+
+    return stored(pages.mapInArrow(run, "host string, own binary, keys binary"), "html-hits")
+
+
+def _counted(hits: DataFrame) -> DataFrame:
     """(host, key, s0..s3, pages, total): the vector of every candidate token."""
 
     def run(batches):
         names = ["host", "key", "s0", "s1", "s2", "s3", "pages", "total"]
         schema = pa.schema([("host", pa.string())] + [(n, pa.int64()) for n in names[1:]])
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for host, page, more in _pages(batches):
-            known = _known(more["plan"])
-            if host not in held:
-                held[host] = (known, np.zeros((len(known), 6), np.int64))
-            keys, count = np.unique(np.array(tokens(page)[0], np.int64), return_counts=True)
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
-            at, count = at[hit], count[hit]
-            own = xxhash.xxh3_128_intdigest(f"{host}\0{page}".encode("utf-8", "surrogatepass"))
-            sums = held[host][1]
-            for k in range(4):
-                sums[at, k] += count * (own >> 32 * k & (1 << 26) - 1)
-            sums[at, 4] += 1
-            sums[at, 5] += count
-        for host, (known, sums) in held.items():
-            there = sums[:, 4] > 0
-            yield as_batch([[host] * int(there.sum()), known[there], *sums[there].T], schema)
-
-    part = pages.mapInArrow(run, "host string, key long, s0 long, s1 long, s2 long, s3 long, pages long, total long")
+        for batch in batches:
+            held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+            for host, own, raw in zip(*(batch.column(n).to_pylist() for n in ("host", "own", "keys"))):
+                keys, count = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
+                number = int.from_bytes(own, "little")
+                parts = [count * (number >> 32 * k & (1 << 26) - 1) for k in range(4)]
+                held[host].append((keys, np.stack([*parts, np.ones(len(keys), np.int64), count], axis=1)))
+            for host, found in held.items():
+                keys = np.concatenate([k for k, _ in found])
+                by = np.argsort(keys, kind="stable")
+                keys, starts = np.unique(keys[by], return_index=True)
+                sums = np.add.reduceat(np.concatenate([v for _, v in found])[by], starts, axis=0)
+                yield as_batch([[host] * len(keys), keys, *sums.T], schema)
+
+    part = hits.mapInArrow(run, "host string, key long, s0 long, s1 long, s2 long, s3 long, pages long, total long")
     return part.groupBy("host", "key").agg(*[F.sum(c).alias(c) for c in ("s0", "s1", "s2", "s3", "pages", "total")])
 
 
@@ -226,7 +326,18 @@ class Plan:
     def __init__(self, classes: list[tuple[int, list[int]]]):
         self.ids = [c for c, _ in classes]
         self.size = [len(keys) for _, keys in classes]
-        self.of = {key: (k, place) for k, (_, keys) in enumerate(classes) for place, key in enumerate(keys)}
+        rows = sorted((key, k, place) for k, (_, keys) in enumerate(classes) for place, key in enumerate(keys))
+        self.keys, self.of, self.place = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((), (), ())))
+        self.tags = Counter(k for key, k, _ in rows if not is_word(key))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``keys`` are template tokens, and which."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys = np.asarray(keys)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        return hit, at[hit]
 
     @staticmethod
     def pack(classes: list[tuple[int, list[int]]]) -> bytes:
@@ -251,32 +362,30 @@ def order_of(found: list[int], size: int) -> tuple[int, ...] | None:
     return first
 
 
-def _tagged(keys: list[int]) -> list[int]:
-    return [k for k in keys if not is_word(k)]
-
-
-def page_orders(plan: Plan, keys: list[int]) -> Iterator[tuple[int, bool, tuple[int, ...] | None]]:
+def page_orders(plan: Plan, keys: np.ndarray) -> list[tuple[int, bool, tuple[int, ...] | None]]:
     """For each class on a page, whole and by its tags alone: class, whether by tags, its order."""
     found: dict[int, list[int]] = defaultdict(list)
-    of = plan.of
-    for key in keys:
-        if key in of:
-            found[of[key][0]].append(key)
-    sizes = Counter(k for key, (k, _) in of.items() if not is_word(key))
+    which = plan.find(keys)[1]
+    for k, key in zip(plan.of[which].tolist(), plan.keys[which].tolist()):
+        found[k].append(key)
+    out = []
     for k, own in found.items():
-        yield plan.ids[k], False, order_of(own, plan.size[k])
-        if LEAST_SIZE <= sizes[k] < plan.size[k]:
-            yield plan.ids[k], True, order_of(_tagged(own), sizes[k])
+        out.append((plan.ids[k], False, order_of(own, plan.size[k])))
+        if LEAST_SIZE <= plan.tags[k] < plan.size[k]:
+            out.append((plan.ids[k], True, order_of([x for x in own if not is_word(x)], plan.tags[k])))
+    return out
 
 
-def page_nesting(plan: Plan, keys: list[int]) -> dict[tuple[int, int], tuple[int, int]]:
+def page_nesting(plan: Plan, keys: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
     """For two classes (by rank), the least and the last gap of the first where occurrences of the second lie; (-1, 1) if one lies across a token of the first.
 
     Gap 0 is outside, k that after the k-th token of an occurrence.
     """
-    sequence = [plan.of[key] for key in keys if key in plan.of]
-    gap = [0] * len(plan.ids)
-    began: list[list[int] | None] = [None] * len(plan.ids)
+    which = plan.find(keys)[1]
+    sequence = zip(plan.of[which].tolist(), plan.place[which].tolist())
+    n = len(plan.ids)
+    gap = [0] * n
+    began: list[list[int] | None] = [None] * n
     out: dict[tuple[int, int], tuple[int, int]] = {}
     for k, place in sequence:
         if place == 0:
@@ -284,12 +393,12 @@ def page_nesting(plan: Plan, keys: list[int]) -> dict[tuple[int, int], tuple[int
         gap[k] = (place + 1) % plan.size[k]
         if place == plan.size[k] - 1:
             for a in range(k):
-                lo = hi = began[k][a]
+                lo = hi = began[k][a] if began[k] else -1
                 if gap[a] != lo:
                     lo, hi = -1, 1
                 was = out.get((a, k), (lo, hi))
                 out[a, k] = min(was[0], lo), max(was[1], hi)
-        for b in range(k + 1, len(plan.ids)):  # a token of k within an occurrence of b
+        for b in range(k + 1, n):  # a token of k within an occurrence of b
             if began[b] is not None and gap[b]:
                 out[k, b] = (-1, 1)
     return out
@@ -308,28 +417,26 @@ def _ranked(classes: list[tuple[int, list[int], int]]) -> list[tuple[int, list[i
     return [(c, keys) for c, keys, total in sorted(classes, key=lambda x: (x[2], x[0]))]
 
 
-def extract_page(plan: Plan | None, page: str) -> tuple[int, list[str], list[str], str]:
-    """Number of template tokens; roles and texts of the slots; the text."""
-    keys, texts = tokens(page)
-    of = plan.of if plan else {}
-    roles, slots, now, role, known = [], [], [], "", 0
+_NO_PLAN = Plan([])
+
 
-    def close():
-        text = re.sub(r" *\n[ \n]*", "\n", " ".join(now)).strip()
+def fill(plan: Plan, keys: np.ndarray, texts: list[str]) -> tuple[int, list[str], list[str], str]:
+    """Of a page's tokens: number of template tokens; roles and texts of the slots; the text."""
+    roles, slots, role, known = [], [], "", 0
+    where, which = plan.find(keys)
+    names = zip(plan.of[which].tolist(), plan.place[which].tolist())
+    begin = 0
+    for at, name in [*zip(where.tolist(), names), (len(texts), None)]:
+        text = " ".join(filter(None, texts[begin:at])) if begin < at else ""
+        if "\n" in text:
+            text = _LINES.sub("\n", text).strip()
         if text:
             roles.append(role)
             slots.append(text)
-        now.clear()
-
-    for key, text in zip(keys, texts):
-        if key in of:
-            close()
-            known += key != PAGE
-            k, place = of[key]
-            role = f"{k}:{place}"
-        elif text is not None:
-            now.append(text)
-    close()
+        if name:
+            known += bool(keys[at] != PAGE)
+            role = f"{name[0]}:{name[1]}"
+        begin = at + 1
     return known, roles, slots, "\n".join(slots)
 
 
@@ -339,7 +446,8 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.withColumn("host", F.lower(F.nullif(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))))
     known = pages.where("host is not null and html is not null").select("host", "html")
     with_plan: Callable[[DataFrame, DataFrame], DataFrame] = lambda p, plan: join_side(p, plan, "host", "inner", 4096)
-    classes = checkpoint(_classes(_counted(with_plan(known, _as_bytes(_frequent(known), "keys")))))
+    hits = _hits(with_plan(known, _as_bytes(_frequent(known), "keys")))
+    classes = checkpoint(_classes(_counted(hits)))
 
     def packed(group: pa.Table) -> pa.Table:
         rows = _ranked(list(zip(group.column("class").to_pylist(), group.column("keys").to_pylist(), group.column("total").to_pylist())))
@@ -348,8 +456,8 @@ def extract(pages: DataFrame) -> DataFrame:
     def orders(batches):
         schema = pa.schema([("host", pa.string()), ("class", pa.int64()), ("tags", pa.bool_()), ("one", pa.int64()), ("other", pa.int64()), ("ordered", pa.bool_()), ("keys", pa.list_(pa.int64()))])
         held: dict[tuple, list] = {}
-        for host, page, more in _pages(batches):
-            for c, tags, order in page_orders(Plan.load(more["plan"]), tokens(page)[0]):
+        for host, plan, keys in _found(batches):
+            for c, tags, order in page_orders(Plan.load(plan), keys):
                 own = _hash(repr(order)) if order else 0
                 was = held.setdefault((host, c, tags), [own, own, True, order or ()])
                 was[0], was[1], was[2] = min(was[0], own), max(was[1], own), was[2] and order is not None
@@ -359,9 +467,9 @@ def extract(pages: DataFrame) -> DataFrame:
     def gaps(batches):
         schema = pa.schema([("host", pa.string()), ("outer", pa.int64()), ("inner", pa.int64()), ("least", pa.int32()), ("most", pa.int32())])
         held: dict[tuple, tuple[int, int]] = {}
-        for host, page, more in _pages(batches):
-            plan = Plan.load(more["plan"])
-            for (a, b), (lo, hi) in page_nesting(plan, tokens(page)[0]).items():
+        for host, packed_plan, keys in _found(batches):
+            plan = Plan.load(packed_plan)
+            for (a, b), (lo, hi) in page_nesting(plan, keys).items():
                 was = held.get((host, plan.ids[a], plan.ids[b]), (lo, hi))
                 held[host, plan.ids[a], plan.ids[b]] = min(was[0], lo), max(was[1], hi)
         if held:
@@ -378,16 +486,18 @@ def extract(pages: DataFrame) -> DataFrame:
         schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("template_tokens", pa.int32()), ("roles", pa.list_(pa.string())), ("slots", pa.list_(pa.string())), ("text", pa.string())])
         for batch in batches:
             for part in slices(batch, "html"):
-                rows = [(None,) * 4 if page is None else extract_page(Plan.load(plan) if plan else None, page) for page, plan in zip(part.column("html").to_pylist(), part.column("plan").to_pylist())]
+                pages, plans = part.column("html").to_pylist(), part.column("plan").to_pylist()
+                keys, offsets, texts = tokens_of([p or "" for p in pages])
+                rows = [(None,) * 4 if page is None else fill(Plan.load(plan) if plan else _NO_PLAN, keys[a:b], texts[a:b]) for page, plan, a, b in zip(pages, plans, offsets, offsets[1:])]
                 yield as_batch([part.column("page_id"), part.column("host"), *zip(*rows)], schema)
 
     plan_schema = "host string, plan binary"
-    checked = with_plan(known, classes.groupBy("host").applyInArrow(packed, plan_schema)).mapInArrow(orders, "host string, class long, tags boolean, one long, other long, ordered boolean, keys array<long>")
+    checked = with_plan(hits, classes.groupBy("host").applyInArrow(packed, plan_schema)).mapInArrow(orders, "host string, class long, tags boolean, one long, other long, ordered boolean, keys array<long>")
     checked = checked.groupBy("host", "class", "tags").agg(F.min("one").alias("one"), F.max("other").alias("other"), F.min("ordered").alias("ordered"), F.min("keys").alias("keys")).where("ordered and one = other")
     # a class by its tags alone only counts where the whole isn't ordered
     checked = checked.groupBy("host", "class").agg(F.min_by("keys", "tags").alias("keys"))
     ordered = checkpoint(checked.join(classes.select("host", "class", "total"), ["host", "class"]))
-    seen = with_plan(known, ordered.groupBy("host").applyInArrow(packed, plan_schema)).mapInArrow(gaps, "host string, outer long, inner long, least int, most int")
+    seen = with_plan(hits, ordered.groupBy("host").applyInArrow(packed, plan_schema)).mapInArrow(gaps, "host string, outer long, inner long, least int, most int")
     seen = seen.groupBy("host", "outer", "inner").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     template = ordered.groupBy("host").cogroup(seen.groupBy("host")).applyInArrow(nested, plan_schema)
     return join_side(pages, template, "host", "left", 4096).select("page_id", "host", "html", "plan").mapInArrow(slots, SCHEMA)
