@@ -1,0 +1,125 @@
+"""Views: rules of selectors and declarations, rendered as markdown blocks."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import nav
+
+SHOWN = ("body", "signature", "outline", "enclosing")
+
+
+@dataclass
+class Rule:
+    selector: str
+    declarations: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def show(self) -> str:
+        default = "signature" if re.search(r"\.(cls|class|struct|def-class)\b", self.selector) else "body"
+        return self.declarations.get("show", default)
+
+
+def parse_rules(text: str) -> list[Rule]:
+    """``selector { key: value; }`` blocks, or bare selectors, one a line."""
+    rules, rest = [], re.sub(r"/\*.*?\*/", "", text, flags=re.S)
+    while rest.strip():
+        m = re.match(r"\s*([^{}]+?)\s*\{([^{}]*)\}", rest, re.S)
+        if not m:
+            if "{" in rest or "}" in rest:
+                raise ValueError(f"braces don't match in {rest.strip()!r}")
+            rules += [Rule(line.strip()) for line in rest.splitlines() if line.strip()]
+            break
+        *bare, selector = [x.strip() for x in m[1].splitlines() if x.strip()]
+        rules += [Rule(x) for x in bare]
+        declared = {}
+        for part in filter(str.strip, m[2].split(";")):
+            key, colon, value = part.partition(":")
+            if not colon or not value.strip():
+                raise ValueError(f"not a declaration: {part.strip()!r}")
+            declared[key.strip()] = value.strip().strip("'\"")
+        show = declared.get("show")
+        if show is not None and show not in SHOWN and not show.isdigit():
+            raise ValueError(f"show: {show} is unknown")
+        rules.append(Rule(selector, declared))
+        rest = rest[m.end() :]
+    return rules
+
+
+def signature(language: Column | None = None) -> Column:
+    """A node's head, written in the manner of its language from its columns."""
+    one = lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(": "), p["type"]), F.lit("")))
+    typed_first = lambda p: F.concat_ws(" ", p["type"], p["name"])
+    listed = lambda f: F.concat(F.lit("("), F.array_join(F.transform(F.coalesce("parameters", F.array().cast("array<struct<name:string,type:string>>")), f), ", "), F.lit(")"))
+    lang, result = F.col("language"), F.col("signature_type")
+    tail = lambda mark: F.coalesce(F.concat(F.lit(mark), result), F.lit(""))
+    function = (
+        F.when(lang.isin("python"), F.concat(F.lit("def "), "name", listed(one), tail(" -> "), F.lit(":")))
+        .when(lang.isin("ruby"), F.concat(F.lit("def "), "name", listed(one)))
+        .when(lang.isin("javascript", "typescript"), F.concat(F.lit("function "), "name", listed(one), tail(": ")))
+        .when(lang.isin("go"), F.concat(F.lit("func "), "name", listed(lambda p: F.concat_ws(" ", p["name"], p["type"])), tail(" ")))
+        .when(lang.isin("rust"), F.concat(F.lit("fn "), "name", listed(one), tail(" -> ")))
+        .when(lang.isin("java", "kotlin", "c", "cpp", "csharp"), F.concat(F.coalesce(F.concat(result, F.lit(" ")), F.lit("")), "name", listed(typed_first)))
+    )
+    return F.when(F.col("semantic_name") == "DEFINITION_FUNCTION", F.coalesce(function, F.col("peek"))).otherwise(F.col("peek"))
+
+
+def texts(chosen: DataFrame, sources: DataFrame, lines: Column | None = None) -> DataFrame:
+    """The chosen rows with ``text``: their lines of (file_path, text). Only the lines asked for leave the join."""
+    split = F.split("_source", "\r\n|\n")
+    last = F.col("end_line") if lines is None else F.least(F.col("end_line"), F.col("start_line") + lines - 1)
+    text = F.array_join(F.slice(split, F.col("start_line"), F.greatest(F.lit(0), last - F.col("start_line") + 1)), "\n")
+    return chosen.join(sources.select("file_path", F.col("text").alias("_source")), "file_path").withColumn("text", text).drop("_source")
+
+
+def outline(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Definitions directly in the body of each chosen node: two levels down, in order of lines."""
+    inner = nodes.where(F.col("semantic_name").isin("DEFINITION_FUNCTION", "DEFINITION_CLASS") & (F.col("flags").bitwiseAND(6) == 6)).withColumn("signature", signature())
+    c, n = chosen.select("file_path", F.col("node_id").alias("of"), "depth", "descendant_count").alias("c"), inner.alias("n")
+    hit = (F.col("c.file_path") == F.col("n.file_path")) & (F.col("n.node_id") > F.col("of")) & (F.col("n.node_id") <= F.col("of") + F.col("c.descendant_count")) & (F.col("n.depth") == F.col("c.depth") + 2)
+    return c.join(n, hit).select(F.col("c.file_path").alias("file_path"), "of", F.col("n.node_id").alias("node_id"), F.col("n.name").alias("name"), F.col("n.start_line").alias("start_line"), "signature")
+
+
+def blocks(nodes: DataFrame, sources: DataFrame, rules: list[Rule], select) -> DataFrame:
+    """(rule, file_path, node_id, name, type, start_line, end_line, show, markdown) of all matches of all rules."""
+    out = None
+    for k, rule in enumerate(rules):
+        chosen = select(nodes, rule.selector)
+        show = rule.show
+        if show == "signature":
+            body = chosen.withColumn("text", signature())
+        elif show == "outline":
+            inner = outline(nodes, chosen).groupBy("file_path", F.col("of").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "signature"))), lambda x: F.concat(F.lit("    "), x["signature"])), "\n").alias("inner"))
+            body = chosen.join(inner, ["file_path", "node_id"], "left").withColumn("text", F.concat_ws("\n", signature(), "inner")).drop("inner")
+        elif show == "enclosing":
+            around = nodes.where(F.col("semantic_name").isin("DEFINITION_FUNCTION", "DEFINITION_CLASS"))
+            body = texts(nav.nearest_ancestors_of(around, chosen), sources)
+        else:
+            body = texts(chosen, sources, F.lit(int(show)) if show.isdigit() else None)
+        place = F.concat(F.lit("# "), "file_path", F.lit(":"), F.col("start_line"), F.lit("-"), F.col("end_line"))
+        text = F.concat(place, F.lit("\n\n```"), F.coalesce("language", F.lit("")), F.lit("\n"), "text", F.lit("\n```"))
+        part = body.select(F.lit(k).alias("rule"), "file_path", "node_id", "name", "type", "start_line", "end_line", F.lit(show).alias("show"), text.alias("markdown"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cell(text: Column) -> Column:
+    """Text for a cell of a markdown table: one line, pipes escaped."""
+    return F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+
+
+def render(shown: DataFrame) -> str:
+    """The blocks in order as one markdown text, on the driver; several signatures of one rule become a table."""
+    rows = shown.withColumn("cell", cell(F.split("markdown", "\n")[3])).orderBy("rule", "file_path", "node_id").collect()
+    out = []
+    for k in sorted({r.rule for r in rows}):
+        own = [r for r in rows if r.rule == k]
+        if own[0].show == "signature" and len(own) > 1:
+            out.append("\n".join(["| File | Lines | Signature |", "|---|---|---|", *(f"| {r.file_path} | {r.start_line}-{r.end_line} | `{r.cell}` |" for r in own)]))
+        else:
+            out += [r.markdown for r in own]
+    return "\n\n".join(out)
