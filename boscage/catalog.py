@@ -251,7 +251,7 @@ FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey =
 JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name""",
     "sql_rollup": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, CAST(grouping(l_returnflag) + grouping(l_linestatus) AS INT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
     "sql_cube": """SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""",
-    "sql_window_top": """SELECT o_custkey, o_orderkey, nth FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders) t WHERE nth <= 3""",
+    "sql_window_top": """SELECT o_custkey, o_orderkey, nth FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS nth FROM orders) t WHERE nth <= 3""",
     "sql_having": """SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12""",
     "sql_outer_join": """SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
     "sql_anti_join": """SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""",

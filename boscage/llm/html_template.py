@@ -89,10 +89,15 @@ class _Known(dict):
 
 
 def _tag(head: str) -> tuple | None:
-    """Of what stands between angle brackets: name, whether it ends one, whether it stays open, what it ends, its text and hash."""
+    """Of what stands between angle brackets: name, whether it ends one, whether it stays open, what it ends, its text and hash.
+
+    None if it's no tag, and no name if a quote is open, so that it goes on.
+    """
     m = _NAME.match(head)
     if not m:
         return None
+    if head.count('"') % 2 or head.count("'") % 2:
+        return None, False, False, None, "", 0
     end, name = bool(m[1]), m[2].lower()
     return name, end, not (end or name in _VOID or head.endswith("/")), None if end else _ENDS.get(name), "\n" if name in _BLOCK else "", _hash(("</" if end else "<") + name)
 
@@ -103,10 +108,6 @@ _path_of = _Known(lambda x: _hash(f"{x[0]}/{x[1]}"))
 _place, _before, _self = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def _uneven(head: str) -> bool:
-    return bool(head.count('"') % 2 or head.count("'") % 2)
-
-
 def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
     """The tokens of many pages: their keys, the page's own first, where each page begins, and their texts.
 
@@ -114,17 +115,13 @@ def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
     """
     texts: list[str] = []
     own: list[int] = []  # hash of the token by itself
-    run_path: list[int] = []  # runs of tokens: path, number, 0 for tags
-    run_size: list[int] = []
-    run_kind: list[int] = []
+    runs: list[int] = []  # of each run of tokens: path, number, 0 for tags
     offsets = [0]
     hash_of, tag_of, path_of = _hash_of.__getitem__, _tag_of.__getitem__, _path_of.__getitem__
     for page in pages:
         texts.append("")
         own.append(0)
-        run_path.append(1)
-        run_size.append(1)
-        run_kind.append(0)
+        runs += (1, 1, 0)
         open_names: list[str] = []
         paths = [1]
         opened: dict[str, int] = defaultdict(int)
@@ -134,10 +131,11 @@ def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
                 first, text = False, part
             else:
                 head, _, text = part.partition(">")
-                if ('"' in head or "'" in head) and _uneven(head):  # a closing bracket in quotes
+                tag = tag_of(head)
+                if tag is not None and tag[0] is None:  # a closing bracket in quotes, or a stray quote
                     head = _QUOTED.match(part)[0]
                     text = part[len(head) + 1 :]
-                tag = tag_of(head)
+                    tag = tag_of(_NAME.match(head)[0] + "/" * head.endswith("/"))
                 if tag is None:
                     text = "<" + part
                 else:
@@ -165,9 +163,7 @@ def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
                     if itself:
                         own.append(itself)
                         texts.append(line)
-                        run_path.append(paths[-1])
-                        run_size.append(1)
-                        run_kind.append(0)
+                        runs += (paths[-1], 1, 0)
                         if stays:
                             open_names.append(name)
                             opened[name] += 1
@@ -177,17 +173,15 @@ def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
                 if words:
                     texts += words
                     own.extend(map(hash_of, words))
-                    run_path.append(paths[-1])
-                    run_size.append(len(words))
-                    run_kind.append(1)
+                    runs += (paths[-1], len(words), 1)
         offsets.append(len(texts))
-    count = np.array(run_size, np.int64)
+    path, count, kind = np.array(runs, np.int64).reshape(-1, 3).T
     itself = np.array(own, np.uint64)
-    tag = np.repeat(np.array(run_kind, np.int8) == 0, count)
+    tag = np.repeat(kind == 0, count)
     before = np.zeros(len(itself), np.uint64)
     before[1:] = itself[:-1]
     before[tag] = 0
-    x = np.repeat(np.array(run_path, np.uint64), count) * _place + before * _before + itself * _self
+    x = np.repeat(path.astype(np.uint64), count) * _place + before * _before + itself * _self
     x = (x ^ x >> np.uint64(32)) * _before
     x = ((x ^ x >> np.uint64(29)) * _place) >> np.uint64(1)
     keys = np.where(tag, x & ~np.uint64(1) | np.uint64(2), x | np.uint64(1)).astype(np.int64)

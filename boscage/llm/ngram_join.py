@@ -10,17 +10,22 @@ occur in many documents last, so few sets meet that aren't alike.
 1. Count the documents of every n-gram; the most frequent make the order. The
    order decides how fast the join is, never what it returns.
 2. Documents with the same prefix and size are one group, which is indexed
-   once, under each n-gram of its prefix. Groups that meet there and are near
-   enough in size are candidate pairs.
+   once, under each n-gram of its prefix. Groups that meet there are near enough in
+   size or passed over, and their meetings are counted: sets of which the first
+   has its last prefix n-gram earlier share only what their prefixes share and
+   what lies behind that one's prefix, so alike ones meet often. Groups
+   that meet often enough for their sizes are candidate pairs.
 3. Candidate groups expand to their distinct sets, and every pair of sets,
-   within a group too, is verified on the whole sets.
+   within a group too, is verified: first by bitmaps, each n-gram of a set
+   flipping one bit of two or more for each n-gram, as sets differ in no
+   fewer n-grams than their bitmaps in bits; then on the whole sets.
 
 The result is in bicliques: each document of ``left_ids`` has with each other
 document of ``right_ids`` the given index. Documents with equal sets are
 one row, with themselves on both sides and an index of 1, and take part as one
 in the others. So thousands of copies don't make millions of rows.
 
-n-grams are compared by 64-bit hashes, sets by 128-bit ones. Defined cases: a
+n-grams and sets are told apart by 64-bit hashes. Defined cases: a
 null or empty text, or one without a letter or digit, is alike to nothing; rows
 with a null doc_id can't be named, so they are in no pair and always kept; rows
 of one doc_id are one document (``keep_one`` keeps all of them or none, but
@@ -40,13 +45,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, as_batch, checkpoint, id_text, join_side, slices, table, utf8_buffer, without
+from .common import FOLD, as_batch, checkpoint, id_text, join_side, slices, stored, table, utf8_buffer, without
 
 WORDS, THRESHOLD = 3, 0.6
 #: An n-gram in more documents than this goes to the end of the order, if it is among the most frequent ``ORDERED``.
-FREQUENT, ORDERED = 24, 1 << 18
+FREQUENT, ORDERED = 10, 1 << 19
+#: Bits of an n-gram, beside those that name its part, by which it is counted for the order.
+COUNTED = 24
 #: n-grams that a worker gathers before it sends them on.
 GATHERED = 3 << 20
+#: Meetings by which two groups may fall short, as n-grams of one set with equal shortened hashes (about 2**-40) meet once.
+SLACK = 3
 #: Sets of one cluster of candidates that are verified together, on each side.
 BLOCK = 256
 SCHEMA = "left_ids array<long>, right_ids array<long>, jaccard double"
@@ -118,7 +127,7 @@ class Order:
     def ranks(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(grams), np.uint32)
-        short = grams >> np.uint64(32 - self.bits)
+        short = grams >> np.uint64(64 - COUNTED - self.bits)
         at = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
         return np.where(self.keys[at] == short, self.rank[at], np.uint32(0))
 
@@ -127,8 +136,19 @@ def prefix_size(size: int, threshold: float) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
 
+#: Sizes are known in classes of this ratio where whole sets aren't at hand.
+_RATIO = 1.06
+
+
 def _size_class(size: int) -> int:
-    return min(255, int(math.log(size) / math.log(1.05)))
+    return min(255, int(math.log(size) / math.log(_RATIO)))
+
+
+def _least_meetings(pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """How often two groups of these size classes meet at least, if sets of theirs are alike."""
+    low = _RATIO ** (pairs & np.uint64(0xFF)).astype(float) * (1 - 1e-9)
+    high = np.where(pairs & np.uint64(0xFF) == 255, np.inf, low * _RATIO * (1 + 1e-8))
+    return np.minimum(60_000, threshold / (1 + threshold) * low.sum(axis=1) - threshold * high.max(axis=1) - SLACK)
 
 
 def _described(text: pa.Array, order: Order, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int] | None]:
@@ -162,6 +182,18 @@ def _short(grams: np.ndarray, bits: int) -> np.ndarray:
     return (grams >> np.uint64(32 - bits)).astype(np.uint32)
 
 
+def _tight(numbers: np.ndarray) -> bytes:
+    """Numbers of ``COUNTED`` bits as bytes."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : COUNTED // 8].tobytes()
+
+
+def _loose(column: pa.ChunkedArray) -> np.ndarray:
+    raw = _joined(column, np.uint8).reshape(-1, COUNTED // 8)
+    out = np.zeros((len(raw), 4), np.uint8)
+    out[:, : COUNTED // 8] = raw
+    return out.view("<u4").ravel()
+
+
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
@@ -177,8 +209,8 @@ def frequent(docs: DataFrame, bits: int) -> Order:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             rows = []
             for k, s in _parts(grams, bits):
-                short, c = _short(grams[s], bits), counts[s]
-                rows.append((k, short[c == 1].tobytes(), short[c > 1].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
+                short, c = (grams[s] >> np.uint64(64 - COUNTED - bits)) & np.uint64((1 << COUNTED) - 1), counts[s]
+                rows.append((k, _tight(short[c == 1]), _tight(short[c > 1]), c[c > 1].astype(np.uint32).tobytes()))
             return as_batch(list(zip(*rows)), schema)
 
         for batch in batches:
@@ -192,15 +224,14 @@ def frequent(docs: DataFrame, bits: int) -> Order:
             yield send()
 
     def total(key: tuple, group: pa.Table) -> pa.Table:
-        once = _joined(group.column("once"), np.uint32)
-        more = _joined(group.column("more"), np.uint32)
+        once, more = _loose(group.column("once")), _loose(group.column("more"))
         counts = np.concatenate([np.ones(len(once), np.uint32), _joined(group.column("counts"), np.uint32)])
         grams = np.concatenate([once, more])
         by = np.argsort(grams, kind="stable")
         grams, starts = np.unique(grams[by], return_index=True)
         documents = np.add.reduceat(counts[by].astype(np.int64), starts) if len(starts) else starts
         hot = documents > FREQUENT
-        keys = (np.uint64(key[0].as_py()) << np.uint64(32)) | grams[hot].astype(np.uint64)
+        keys = (np.uint64(key[0].as_py()) << np.uint64(COUNTED)) | grams[hot].astype(np.uint64)
         return pa.table({"gram": pa.array(keys.astype(np.int64)), "documents": pa.array(documents[hot], pa.int64())})
 
     counted = docs.select("text").mapInArrow(count, "part int, once binary, more binary, counts binary").groupBy("part").applyInArrow(total, "gram long, documents long")
@@ -208,19 +239,38 @@ def frequent(docs: DataFrame, bits: int) -> Order:
     return Order(bits, top.column("gram").to_numpy().astype(np.uint64), top.column("documents").to_numpy())
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """Of a set: each n-gram flips the bit that its hash names."""
+    bits = 1 << max(6, (2 * len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the larger folded to the size of the smaller."""
+    a, b = (np.frombuffer(z, np.uint64) for z in (x, y))
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _digest(grams: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
+
+
 def distinct_sets(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
-    """One row for each distinct set: group, digest, size, the documents that have it and the first of them."""
+    """One row for each distinct set: group, digest, size, bitmap, the documents that have it and the first of them."""
 
     def describe(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.int64()), ("digest", pa.binary()), ("size", pa.int32())])
+        schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("bitmap", pa.binary())])
         for batch in batches:
             for part in slices(batch):
-                rows = [(i, np.uint64(g[3]).astype(np.int64), xxhash.xxh3_128_digest(g[1].tobytes()), g[0]) for i, g in zip(part.column("doc_id").to_pylist(), _described(part.column("text"), order, threshold)) if g]
+                rows = [(i, np.uint64(g[3]).astype(np.int64), _digest(g[1]), g[0], bitmap(g[1])) for i, g in zip(part.column("doc_id").to_pylist(), _described(part.column("text"), order, threshold)) if g]
                 if rows:
                     yield as_batch(list(zip(*rows)), schema)
 
-    found = docs.mapInArrow(describe, "doc_id long, grp long, digest binary, size int")
-    return found.groupBy("grp", "digest", "size").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).withColumn("rep", F.col("ids")[0])
+    found = docs.mapInArrow(describe, "doc_id long, grp long, digest long, size int, bitmap binary")
+    return found.groupBy("grp", "digest", "size").agg(F.first("bitmap").alias("bitmap"), F.sort_array(F.collect_set("doc_id")).alias("ids"))
 
 
 def _meetings(groups: np.ndarray, starts: np.ndarray, reach: int) -> Iterator[np.ndarray]:
@@ -239,18 +289,54 @@ def _meetings(groups: np.ndarray, starts: np.ndarray, reach: int) -> Iterator[np
                 yield np.stack([groups[a[near]], groups[b[near]]], axis=1)
 
 
-def _distinct_pairs(pairs: list[np.ndarray]) -> np.ndarray:
-    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint64)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    fresh = np.ones(len(pairs), bool)
-    fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-    return pairs[fresh]
+def _added_up(pairs: list[np.ndarray], times: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, and the sum of how many times each came."""
+    flat = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint64)
+    each = np.concatenate(times).astype(np.int64) if times else np.ones(len(flat), np.int64)
+    by = np.lexsort((flat[:, 1], flat[:, 0]))
+    flat, each = flat[by], each[by]
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = (flat[1:] != flat[:-1]).any(axis=1)
+    starts = np.flatnonzero(fresh)
+    return flat[starts], np.add.reduceat(each, starts) if len(starts) else each
+
+
+def _counted_pairs(groups: np.ndarray, starts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that meet in the runs of ``groups``, and how often."""
+    held, times, n = [], [], 0
+    for pairs in _meetings(groups, starts, reach):
+        held.append(pairs)
+        times.append(np.ones(len(pairs), np.int64))
+        n += len(pairs)
+        if n > 1 << 22:
+            held, times = ([x] for x in _added_up(held, times))
+            n = len(held[0]) // 2
+    return _added_up(held, times)
+
+
+def _by_part(pairs: np.ndarray, times: np.ndarray, bits: int) -> list[tuple]:
+    """Ascending pairs by the part that adds them up: first members, how often each comes, second members, times (up to 65535)."""
+    part = (_mix(pairs[:, 0] * _PLACE[0] + pairs[:, 1]) >> np.uint64(64 - bits)).astype(np.int32)
+    by = np.argsort(part, kind="stable")
+    pairs, times = pairs[by], np.minimum(times[by], 65535).astype(np.uint16)
+    edges = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << bits))]).tolist()
+    out = []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if a < b:
+            first, runs = np.unique(pairs[a:b, 0], return_counts=True)
+            out.append((k, first.tobytes(), runs.astype(np.uint32).tobytes(), np.ascontiguousarray(pairs[a:b, 1]).tobytes(), times[a:b].tobytes()))
+    return out
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    """Rows of a part and blobs."""
+    return pa.table({n: pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k, n in enumerate(names)})
 
 
 def group_pairs(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
-    """Pairs of groups that share an n-gram of their prefixes and are near enough in size."""
+    """Pairs of groups that share enough n-grams of their prefixes and are near enough in size."""
     bits = order.bits
-    reach = math.ceil(math.log(1 / threshold) / math.log(1.05)) + 1
+    reach = math.ceil(math.log(1 / threshold) / math.log(_RATIO)) + 1
 
     def index(batches):
         schema = pa.schema([("part", pa.int32()), ("grams", pa.binary()), ("groups", pa.binary())])
@@ -283,86 +369,105 @@ def group_pairs(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
         fresh = np.ones(len(grams), bool)
         fresh[1:] = (grams[1:] != grams[:-1]) | (groups[1:] != groups[:-1])
         grams, groups = grams[fresh], groups[fresh]
-        held, done, n = [], [], 0
-        for pairs in _meetings(groups, np.unique(grams, return_index=True)[1], reach):
-            held.append(pairs)
-            n += len(pairs)
-            if n > 1 << 22:
-                held = [_distinct_pairs(held)]
-                n = len(held[0])
-                if n > 1 << 21:
-                    done, held, n = done + held, [], 0
-        pairs = np.concatenate([*done, _distinct_pairs(held)])
-        part = (_mix(pairs[:, 0] * _PLACE[0] + pairs[:, 1]) >> np.uint64(64 - bits)).astype(np.int32)
-        pairs = pairs[np.argsort(part, kind="stable")]
-        edges = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << bits))])
-        rows = [(k, pairs[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
+        starts = np.unique(grams, return_index=True)[1]
+        sizes = np.diff(np.concatenate([starts, [len(groups)]]))
+        long = sizes > FREQUENT
+        homes = (_mix(groups[starts[long]]) >> np.uint64(64 - bits)).astype(np.int32)
+        lists: dict[int, list[np.ndarray]] = {}
+        for home, at, n in zip(homes.tolist(), starts[long].tolist(), sizes[long].tolist()):
+            lists.setdefault(home, []).append(groups[at : at + n])
+        short = np.repeat(~long, sizes)
+        n = sizes[~long]
+        found = _by_part(*_counted_pairs(groups[short], np.concatenate([[0], np.cumsum(n)])[:-1], reach), bits)
+        kept = [(k, None, None, None, None, np.array([len(x) for x in own], np.uint32).tobytes(), np.concatenate(own).tobytes()) for k, own in lists.items()]
+        return _table([(*row, None, None) for row in found] + kept, ["part", "first", "runs", "second", "times", "sizes", "members"])
+
+    def at_home(group: pa.Table) -> pa.Table:
+        sizes = _joined(group.column("sizes"), np.uint32).astype(np.int64)
+        pairs, times = _counted_pairs(_joined(group.column("members"), np.uint64), np.concatenate([[0], np.cumsum(sizes)])[:-1], reach)
+        return _table(_by_part(pairs, times, bits), ["part", "first", "runs", "second", "times"])
 
     def once(group: pa.Table) -> pa.Table:
-        pairs = _distinct_pairs([_joined(group.column("pairs"), np.uint64).reshape(-1, 2)]).astype(np.int64)
+        first = np.repeat(_joined(group.column("first"), np.uint64), _joined(group.column("runs"), np.uint32))
+        pairs, times = _added_up([np.stack([first, _joined(group.column("second"), np.uint64)], axis=1)], [_joined(group.column("times"), np.uint16)])
+        pairs = pairs[times >= _least_meetings(pairs, threshold)].astype(np.int64)
         return pa.table({"grp": pa.array(np.ascontiguousarray(pairs[:, 0])), "other": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
-    met = docs.select("text").mapInArrow(index, "part int, grams binary, groups binary").groupBy("part").applyInArrow(meet, "part int, pairs binary")
-    return met.groupBy("part").applyInArrow(once, "grp long, other long")
+    blobs = "part int, first binary, runs binary, second binary, times binary"
+    met = docs.select("text").mapInArrow(index, "part int, grams binary, groups binary").groupBy("part").applyInArrow(meet, blobs + ", sizes binary, members binary")
+    met = stored(met, "ngram-meetings")
+    homes = met.where("sizes IS NOT NULL").select("part", "sizes", "members").groupBy("part").applyInArrow(at_home, blobs)
+    return met.where("sizes IS NULL").drop("sizes", "members").unionByName(homes).groupBy("part").applyInArrow(once, "grp long, other long")
 
 
 def candidates(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs of distinct sets to verify: those of candidate groups, and those within a group."""
-    own = sets.select("grp", "digest", "size", "rep")
-    right = sets.select(F.col("grp").alias("other"), F.col("digest").alias("digest2"), F.col("size").alias("size2"), F.col("rep").alias("rep2"))
+    own = sets.select("grp", "digest", "size")
+    right = sets.select(F.col("grp").alias("other"), F.col("digest").alias("digest2"), F.col("size").alias("size2"))
     across = pairs.join(own, "grp").join(right, "other")
     several = own.groupBy("grp").count().where("count > 1").select("grp")
     within = own.join(several, "grp").join(right.withColumnRenamed("other", "grp"), "grp").where("digest < digest2")
-    columns = ["digest", "size", "rep", "digest2", "size2", "rep2"]
+    columns = ["digest", "size", "digest2", "size2"]
     return across.select(columns).unionByName(within.select(columns)).where(F.least("size", "size2") >= F.greatest("size", "size2") * F.lit(threshold) - 1e-9)
 
 
-def verify(docs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """The candidate pairs whose whole sets are alike.
+def _placed(found: DataFrame) -> DataFrame:
+    """The pairs, each with a place to compare it.
 
-    Pairs are laid out in blocks of sets around the first partner of their left
+    Pairs are laid out in blocks of sets around the first partner of their right
     side, so a set travels once to each block that needs it, not once a pair.
     """
-    spark = docs.sparkSession
-    places = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    centre = found.groupBy(F.col("digest2").alias("digest")).agg(F.min("digest").alias("first"))
-    found = found.join(centre, "digest", "left").withColumn("centre", F.least(F.coalesce("first", "digest"), "digest"))
-    blocks = found.groupBy("centre").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(2.0 * F.count("*")) / BLOCK)).alias("blocks"))
+    places = 4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.withColumn("centre", F.min("digest").over(Window.partitionBy("digest2")))
+    blocks = F.greatest(F.lit(1), F.ceil(F.sqrt(2.0 * F.count("*").over(Window.partitionBy("centre"))) / BLOCK))
     of = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    placed = found.join(blocks, "centre").withColumn("place", F.pmod(F.xxhash64("centre", of("digest"), of("digest2")), F.lit(places)).cast("int"))
-    placed = placed.select("place", "digest", "digest2", "size", "size2", "rep", "rep2")
-    needs = placed.select("place", "digest", "rep").unionByName(placed.select("place", F.col("digest2").alias("digest"), F.col("rep2").alias("rep"))).distinct()
-    needs = needs.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("digest", "place")).alias("wanted"))
+    place = F.pmod(F.xxhash64("centre", of("digest"), of("digest2")), F.lit(places)).cast("int")
+    return found.withColumn("blocks", blocks).select(place.alias("place"), "digest", "digest2", "size", "size2")
 
-    def sets_of(batches):
-        schema = pa.schema([("place", pa.int32()), ("digest", pa.binary()), ("grams", pa.binary())])
-        for batch in batches:
-            for part in slices(batch):
-                grams, edges = gram_sets(part.column("text"))
-                rows = []
-                for a, b, wanted in zip(edges[:-1].tolist(), edges[1:].tolist(), part.column("wanted").to_pylist()):
-                    raw = grams[a:b].tobytes()
-                    own = xxhash.xxh3_128_digest(raw)
-                    rows += [(w["place"], own, raw) for w in wanted if w["digest"] == own]
-                if rows:
-                    yield as_batch(list(zip(*rows)), schema)
 
-    def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        by = dict(zip(sets.column("digest").to_pylist(), sets.column("grams").to_pylist()))
+def _needed(placed: DataFrame) -> DataFrame:
+    """(digest, place): where each set is compared."""
+    ends = F.explode(F.array("digest", "digest2"))
+    return placed.select(ends.alias("digest"), F.col("place").alias("place")).distinct()
+
+
+def _by_bitmap(sets: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """The placed pairs whose bitmaps let them be alike."""
+
+    def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
+        by = dict(zip(own.column("digest").to_pylist(), own.column("bitmap").to_pylist()))
+        apart = np.array([bits_apart(by[x], by[y]) for x, y in zip(pairs.column("digest").to_pylist(), pairs.column("digest2").to_pylist())], np.int64)
+        size = pairs.column("size").to_numpy().astype(np.int64) + pairs.column("size2").to_numpy()
+        return pairs.filter(pa.array((size - apart) / 2 >= threshold / (1 + threshold) * size - 1e-6))
+
+    at = _needed(placed).join(sets.select("digest", "bitmap"), "digest")
+    return placed.groupBy("place").cogroup(at.groupBy("place")).applyInArrow(compare, placed.schema)
+
+
+def verify(docs: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """The candidate pairs whose whole sets are alike. Texts travel to the places, as they are smaller than their sets."""
+    placed = checkpoint(_by_bitmap(sets, checkpoint(_placed(found)), threshold))
+    needs = _needed(placed).join(sets.select("digest", F.col("ids")[0].alias("doc_id")), "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "place")).alias("wanted"))
+
+    def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
+        grams, edges = gram_sets(own.column("text").combine_chunks())
+        by = {}
+        for digest, a, b in zip(own.column("digest").to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
+            if _digest(grams[a:b]) == digest:  # else another row with the same doc_id
+                by[digest] = grams[a:b]
         overlap = []
         for x, y in zip(pairs.column("digest").to_pylist(), pairs.column("digest2").to_pylist()):
-            a, b = np.frombuffer(by[x], np.uint64), np.frombuffer(by[y], np.uint64)
+            a, b = by[x], by[y]
             a, b = (a, b) if len(a) < len(b) else (b, a)
             overlap.append(int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)))
-        size = pairs.column("size").to_numpy() + pairs.column("size2").to_numpy()
+        size = pairs.column("size").to_numpy().astype(np.int64) + pairs.column("size2").to_numpy()
         overlap = np.array(overlap, np.int64)
         jaccard = overlap / np.maximum(1, size - overlap)
         alike = pa.array(jaccard >= threshold - 1e-12)
-        return pairs.select(["digest", "digest2", "rep", "rep2"]).append_column("jaccard", pa.array(jaccard)).filter(alike)
+        return pairs.select(["digest", "digest2"]).append_column("jaccard", pa.array(jaccard)).filter(alike)
 
-    sets = join_side(docs, needs, "doc_id", "inner", 64).select("text", "wanted").mapInArrow(sets_of, "place int, digest binary, grams binary")
-    return placed.groupBy("place").cogroup(sets.groupBy("place")).applyInArrow(compare, "digest binary, digest2 binary, rep long, rep2 long, jaccard double")
+    texts = join_side(docs, needs, "doc_id", "inner", 64).select("text", F.explode("wanted").alias("w")).select("text", "w.digest", "w.place")
+    return placed.groupBy("place").cogroup(texts.groupBy("place")).applyInArrow(compare, "digest long, digest2 long, jaccard double")
 
 
 def _similar(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -370,8 +475,8 @@ def _similar(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     docs = id_text(docs).where("doc_id is not null and text is not null")
     order = frequent(docs, _bits(docs.sparkSession))
     sets = checkpoint(distinct_sets(docs, order, threshold))
-    found = checkpoint(candidates(sets, group_pairs(docs, order, threshold), threshold))
-    return sets, verify(docs, found, threshold)
+    found = candidates(sets, group_pairs(docs, order, threshold), threshold)
+    return sets, verify(docs, sets, found, threshold)
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -408,8 +513,10 @@ def components(edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without those that are alike, over any number of steps, to one with a smaller doc_id."""
     sets, pairs = _similar(docs, threshold)
-    later = components(pairs.select(F.col("rep").alias("u"), F.col("rep2").alias("v")))
-    gone = sets.select("rep", F.explode("ids").alias("doc_id")).join(later.select(F.col("node").alias("rep"), "first"), "rep", "left")
+    first = sets.select("digest", F.col("ids")[0].alias("rep"))
+    edges = pairs.join(first.withColumnRenamed("rep", "u"), "digest").join(first.select(F.col("digest").alias("digest2"), F.col("rep").alias("v")), "digest2").select("u", "v")
+    later = components(edges)
+    gone = sets.select(F.col("ids")[0].alias("rep"), F.explode("ids").alias("doc_id")).join(later.select(F.col("node").alias("rep"), "first"), "rep", "left")
     gone = gone.where(F.col("first").isNotNull() | (F.col("doc_id") != F.col("rep"))).select("doc_id").distinct()
     return without(docs, checkpoint(gone))
 
