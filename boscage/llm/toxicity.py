@@ -1,12 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled rows: one on ordinary
-text, one on what sets toxic text apart, with the ordinary dictionary's
-content behind it so that both know ordinary language equally well. A window
-of text that compresses better with the toxic dictionary speaks for toxicity.
-A document's score is the mean advantage of its windows in standard errors of
-ordinary windows, and the threshold is calibrated on labelled rows that the
-training did not see.
+Two zstandard dictionaries of one capacity are trained from labelled rows: one
+on windows of ordinary text, one on windows of toxic text, of which only the
+words and stems stay that are far more frequent in toxic rows. The ordinary dictionary's
+content stands behind the toxic one, so that both know ordinary language
+equally well. A window of text that compresses better with the toxic dictionary
+speaks for toxicity.
+
+A document is judged by its runs of 1 to 64 windows, never by its mean: a run's
+gain is compared with the runs of that length in ordinary rows that the
+training did not see. The score is the negative decimal logarithm of how often
+ordinary text of the document's length has a run like its best one. A document
+is toxic beyond both ``FALSE_POSITIVES`` on that scale and all but this share
+of the held-out ordinary rows. Of n rows this is order statistic
+max(1, FALSE_POSITIVES * (n + 1)) from the top, so a new ordinary row passes it
+with a probability of max(FALSE_POSITIVES, 1 / (n + 1)) at most; the rule is
+the same for any n.
 
 Defined cases: a null text or one of no bytes has no windows, score 0 and is
 not toxic; a text of any length is windowed whole; equal texts get equal
@@ -18,8 +27,9 @@ are looked at, so further columns may have any name.
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +44,17 @@ WINDOW, OVERLAP = 256, 16
 TRAIN_ROWS = (1500, 3000)
 #: Share of ordinary held-out documents that may pass the threshold.
 FALSE_POSITIVES = 0.003
-LEAST_Z, USUAL_Z = 3.0, 4.5
-GRAM = 6
+#: Bytes of each dictionary, at most.
+CAPACITY = 1 << 19
+#: Windows of the runs that are judged.
+RUNS = (1, 2, 4, 8, 16, 32, 64)
+#: Share of ordinary runs that the tail of each length is fitted to.
+TAIL = 0.02
+#: Toxic rows that a word must be in; a number, so that no language or topic is too rare among many rows.
+LEAST_ROWS = 3
+#: Bytes of a stem, at least, and times the share of ordinary rows that the share of toxic rows with it is.
+LEAST_BYTES, RATIO = 4, 4
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]{3,}")
 SCHEMA = "doc_id long, windows int, score double, toxic boolean"
 
 
@@ -44,7 +63,8 @@ class Model:
     ordinary: bytes
     toxic: bytes
     mean: float
-    sd: float
+    #: For each of RUNS: a gain, the share of ordinary runs beyond it, and by how much they are beyond it on average.
+    tails: tuple[tuple[float, float, float], ...]
     threshold: float
 
 
@@ -56,7 +76,7 @@ def windows(data: bytes) -> list[bytes]:
 
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
     params = zstd.ZstdCompressionParameters(
-        window_log=14, hash_log=14, chain_log=14, search_log=4, min_match=4, target_length=32, strategy=zstd.STRATEGY_LAZY2,
+        window_log=20, hash_log=19, chain_log=19, search_log=6, min_match=4, target_length=32, strategy=zstd.STRATEGY_LAZY2,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS,
     )
     known = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -74,76 +94,106 @@ class Scorer:
     def gains(self, data: bytes) -> list[int]:
         return [len(self.ordinary(w)) - len(self.toxic(w)) for w in windows(data)]
 
-    def z(self, gains: list[int]) -> float:
-        return (sum(gains) - self.model.mean * len(gains)) / (self.model.sd * len(gains) ** 0.5) if gains else 0.0
+    def runs(self, gains: list[int]) -> list[np.ndarray]:
+        """Gain over the ordinary mean of all runs, for each of RUNS that the text is long enough for."""
+        upto = np.concatenate([[0.0], np.cumsum(np.array(gains, float) - self.model.mean)])
+        return [upto[r:] - upto[:-r] for r in RUNS if r <= len(gains)]
 
+    def score(self, gains: list[int]) -> float:
+        if not gains:
+            return 0.0
+        found = []
+        for r, run, (level, share, scale) in zip(RUNS, self.runs(gains), self.model.tails):
+            found.append((run.max() - level) / scale - np.log(share) - np.log(len(gains) / r))
+        return float(max(found) / np.log(10))
 
-def _grams(data: bytes) -> set[bytes]:
-    return {data[i : i + GRAM] for i in range(len(data) - GRAM + 1)}
 
+def _words(data: bytes) -> list[bytes]:
+    """Words of letters and digits; of writing without blanks, all overlapping pieces of three characters of three bytes."""
+    out = []
+    for w in _WORD.findall(data):
+        out += [w] if len(w) <= 30 else [w[i : i + 9] for i in range(0, len(w) - 8, 3)]
+    return out
 
-def toxic_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words of toxic texts whose byte n-grams are far rarer in ordinary texts, the most frequent first."""
+
+def _stems(data: bytes) -> set[bytes]:
+    """All words of a text and their beginnings."""
+    return {w[:k] for w in set(_words(data)) for k in range(LEAST_BYTES, len(w) + 1)}
+
+
+def toxic_stems(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Words and beginnings of words that are in far more of the toxic texts than of the ordinary ones; the shortest stands for all that begin with it."""
     n1, n0 = len(toxic), len(ordinary)
     there: Counter[bytes] = Counter()
     for t in toxic:
-        there.update(_grams(t))
-    least = max(3, 0.05 * n1)
-    there = Counter({g: c for g, c in there.items() if c >= least})
+        there.update(_stems(t))
+    there = Counter({w: c for w, c in there.items() if c >= LEAST_ROWS})
     elsewhere: Counter[bytes] = Counter()
     for t in ordinary:
-        elsewhere.update(_grams(t) & there.keys())
-    hot = set()
-    for g, c in there.items():
-        p1, p0, p = c / n1, elsewhere[g] / n0, (c + elsewhere[g]) / (n1 + n0)
+        elsewhere.update(there.keys() & _stems(t))
+    out: list[bytes] = []
+    for w, c in sorted(there.items()):
+        p1, p0, p = c / n1, elsewhere[w] / n0, (c + elsewhere[w]) / (n1 + n0)
         error = (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
-        if p1 >= 8 * (elsewhere[g] + 1) / (n0 + 1) and p1 - p0 >= 5 * error:
-            hot.add(g)
-    found: Counter[bytes] = Counter()
-    for t in toxic:
-        start = end = -1
-        for i in range(len(t) - GRAM + 1):
-            if t[i : i + GRAM] in hot:
-                if i > end:
-                    found[_whole(t[start:end])] += 1
-                    start = i
-                end = i + GRAM
-        found[_whole(t[start:end])] += 1
-    return [s for s, n in found.most_common() if n >= 3 and len(s.strip()) >= 4]
+        if not (out and w.startswith(out[-1])) and p1 >= RATIO * (elsewhere[w] + 1) / (n0 + 1) and p1 - p0 >= 5 * error:
+            out.append(w)
+    return out
+
+
+def _trained(samples: list[bytes]) -> bytes:
+    try:
+        return zstd.train_dictionary(CAPACITY, samples[:: max(1, len(samples) // 20_000)], level=3).as_bytes()
+    except zstd.ZstdError:  # too little text to train on: the text itself is the dictionary
+        return b"".join(dict.fromkeys(samples))[-CAPACITY:]
+
 
+def _with(stems: list[bytes]) -> re.Pattern[bytes]:
+    return re.compile(rb"(?<![0-9A-Za-z\x80-\xff])(?:" + b"|".join(map(re.escape, stems)) + rb")[0-9A-Za-z\x80-\xff]*")
 
-def _whole(span: bytes) -> bytes:
-    """``span`` without words that it covers only in part; a long last word counts as whole."""
-    span = span if span[:1].isspace() else span[span.find(b" ") :] if b" " in span else b""
-    if span[-1:].isspace():
-        return span
-    return span + b" " if len(span) - span.rfind(b" ") > 8 else span[: span.rfind(b" ") + 1]
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The ordinary one, trained on windows without toxic stems; the toxic one, trained on words with these stems in toxic windows; words that the trainer left out stand before its content."""
+    stems = toxic_stems(toxic, ordinary)
+    if not stems:
+        return _trained([w for t in ordinary for w in windows(t)]), b""
+    there = _with(stems)
+    samples = [b" " + b" ".join(found) + b" " for t in toxic for w in windows(t) if (found := there.findall(w))]
+    content = _trained(samples)
+    often = Counter(w for t in toxic for w in set(there.findall(t)))
+    left_out = b"".join(b" " + w + b" " for w, n in sorted(often.items()) if n >= LEAST_ROWS and w not in content)[-CAPACITY:]
+    return _trained([w for t in ordinary for w in windows(there.sub(b"", t))]), left_out + content
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model | None:
-    """Train on every second text of each class and calibrate on the others."""
-    toxic, ordinary = [t for t in toxic if t], [t for t in ordinary if t]
+    """Train on the toxic and every second ordinary text, and calibrate on the other ordinary texts, which nothing in the training sees."""
+    toxic, ordinary = [t for t in dict.fromkeys(toxic) if t], [t for t in dict.fromkeys(ordinary) if t]
     if not toxic or not ordinary:
         return None
-    content = b""
-    for s in toxic_spans(toxic, ordinary):
-        if s not in content and len(content) < 1024:
-            content += s
-    train, held = ordinary[::2], ordinary[1::2] or ordinary
-    samples = [w for t in train for w in windows(t)]
-    try:
-        known = zstd.train_dictionary(8192, samples[:: max(1, len(samples) // 20_000)], level=3).as_bytes()
-    except zstd.ZstdError:  # too little text to train on: the text itself is the dictionary
-        known = b"".join(samples)[-8192:]
-    scorer = Scorer(Model(known, content, 0.0, 1.0, USUAL_Z))
-    gains = [scorer.gains(t) for t in held]
-    flat = np.concatenate([np.array(g, float) for g in gains])
-    model = Model(known, content, float(flat.mean()), max(0.25, float(flat.std())), USUAL_Z)
+    seen, held = ordinary[::2], ordinary[1::2] or ordinary
+    model = Model(*dictionaries(toxic, seen), 0.0, (), 0.0)
     scorer = Scorer(model)
-    z = np.sort([scorer.z(g) for g in gains])
-    if len(z) >= 300:
-        model = Model(known, content, model.mean, model.sd, max(LEAST_Z, float(np.quantile(z, 1 - FALSE_POSITIVES))))
-    return model
+    gains = [scorer.gains(t) for t in held]
+    scorer.model = model = replace(model, mean=float(np.mean([x for g in gains for x in g])))
+    of_length: list[list[np.ndarray]] = [[] for _ in RUNS]
+    for g in gains:
+        for found, run in zip(of_length, scorer.runs(g)):
+            found.append(run)
+    tails: list[tuple[float, float, float]] = []
+    for found in of_length:
+        if not found or len(run := np.concatenate(found)) < 1 / TAIL:
+            # too few runs of this length: they vary as independent ones of the length before do
+            level, share, scale = tails[-1] if tails else (0.0, 1.0, 1.0)
+            tails.append((level * 2**0.5, share, scale * 2**0.5))
+            continue
+        level = float(np.quantile(run, 1 - TAIL))
+        beyond = run[run > level]
+        share, scale = max(len(beyond), 1) / len(run), max(0.5, float((beyond - level).mean()) if len(beyond) else 0.0)
+        # a run holds shorter ones, so its tail is no lighter than theirs, however few texts are that long
+        tails.append((max(level, tails[-1][0]), share, max(scale, tails[-1][2])) if tails else (level, share, scale))
+    scorer.model = model = replace(model, tails=tuple(tails))
+    scores = sorted((scorer.score(g) for g in gains), reverse=True)
+    rank = max(1, int(FALSE_POSITIVES * (len(scores) + 1)))
+    return replace(model, threshold=max(-float(np.log10(FALSE_POSITIVES)), scores[rank - 1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Model | None:
@@ -158,9 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS
 
 def _verdicts(model: Model | None, text: pa.Array, scorer: Scorer | None) -> tuple[list[int], list[float], list[bool]]:
     gains = [scorer.gains(t.encode()) if scorer and t else [] for t in text.to_pylist()]
-    z = [scorer.z(g) if scorer else 0.0 for g in gains]
+    z = [scorer.score(g) if scorer else 0.0 for g in gains]
     count = [len(g) if scorer else len(windows(t.encode())) if t else 0 for g, t in zip(gains, text.to_pylist() if not scorer else gains)]
-    return count, z, [bool(model) and x >= model.threshold for x in z]
+    return count, z, [bool(model) and x > model.threshold for x in z]
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
