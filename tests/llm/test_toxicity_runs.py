@@ -25,6 +25,18 @@ def verdicts(model, texts):
     return [scorer.score(scorer.gains(t)) > model.threshold for t in texts]
 
 
+@pytest.mark.parametrize("lang", ["en", "de", "es", "fr"])
+def test_a_clean_million(labelled, model, lang):
+    clean = b" ".join(t for t, l, x in labelled[1::2] if not x and l == lang)
+    assert verdicts(model, [(clean * (1_000_000 // len(clean) + 1))[:1_000_000]]) == [False]
+
+
+def test_a_passage_in_a_million(labelled, model):
+    clean = b" ".join(t for t, l, x in labelled[1::2] if not x and l == "en")[:1_000_000]
+    passage = next(t for t, l, x in labelled if x and l == "en" and len(t) > 2000)[:2000]
+    assert verdicts(model, [clean, clean[:500_000] + passage + clean[500_000:]]) == [False, True]
+
+
 def test_rare_topic_and_much_vocabulary():
     r = random.Random(1)
     word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(4))
