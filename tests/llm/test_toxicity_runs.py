@@ -25,6 +25,14 @@ def verdicts(model, texts):
     return [scorer.score(scorer.gains(t)) > model.threshold for t in texts]
 
 
+def test_rows_left_out_of_fit(labelled, model):
+    left = labelled[1::2]
+    assert np.mean(verdicts(model, [t for t, _, x in left if not x])) < 0.01
+    assert np.mean(verdicts(model, [t for t, _, x in left if x])) > 0.6
+    for lang in ("de", "es", "fr"):
+        assert any(verdicts(model, [t for t, l, x in left if x and l == lang])), lang
+
+
 @pytest.mark.parametrize("lang", ["en", "de", "es", "fr"])
 def test_a_clean_million(labelled, model, lang):
     clean = b" ".join(t for t, l, x in labelled[1::2] if not x and l == lang)
@@ -47,3 +55,13 @@ def test_rare_topic_and_much_vocabulary():
     known = toxicity.fit(toxic, ordinary)
     assert all(w.encode() in known.toxic for w in (*bad, *rare))
     assert verdicts(known, [text(rare), text(bad), text([])]) == [True, True, False]
+
+
+@pytest.mark.parametrize("n", [60, 174, 300, 900])
+def test_one_rule_at_every_size(labelled, n):
+    toxic, ordinary = ([t for t, _, x in labelled if x == k][:n] for k in (1, 0))
+    known = toxicity.fit(toxic, ordinary)
+    held = list(dict.fromkeys(ordinary))[1::2]
+    passed = sum(verdicts(known, held))
+    assert passed < max(1, toxicity.FALSE_POSITIVES * (len(held) + 1))
+    assert known.threshold != 4.5
