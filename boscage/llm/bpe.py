@@ -8,9 +8,10 @@ As every neighbouring pair of tokens is then one that encoding gives, the
 joined sequence is exactly the encoding of the whole.
 
 A long document is itself cut into halves that are encoded by different
-tasks. A join of two text parts takes the last piece of the left and the
-first pieces of the right, growing, until the pattern splits both at the
-same place; pieces that continue across the join are joined as above.
+tasks. A join of two text parts splits anew from the last blank after
+something that isn't blank in the left to the first such blank in the right,
+as no piece ever goes across these; a piece that continues the left's last
+piece by the right's first is joined as above.
 
 Defined cases: a null text has null tokens and null counts, an empty one an
 empty array; special-token strings in a text are ordinary text; texts are
@@ -63,6 +64,7 @@ class Codec:
         self.raw = self.encoding._encode_single_piece
         self.pattern = regex.compile(PATTERN)
         self.unsplit = regex.compile(rf"\S{{{LONG_PIECE // 4},}}|\s{{{LONG_PIECE // 4},}}")
+        self.edge, self.edge_back = regex.compile(r"\S\s"), regex.compile(r"(?r)\S\s")
         self.bytes_of = self.encoding.decode_bytes
 
     def encode(self, text: str) -> list[int]:
@@ -102,41 +104,30 @@ class Codec:
         (lt, li), (rt, ri) = left, right
         if not lt or not rt:
             return lt + rt, li + ri
-        last = self._last_piece(lt)
-        kept, tail = self._cut(li, len(last.encode()), from_end=True)
-        k, pieces = 2, self.pattern.finditer(rt)
-        firsts: list[str] = []
-        while True:
-            more = [m[0] for m, _ in zip(pieces, range(k - len(firsts)))]
-            firsts += more
-            over = "".join(firsts)
-            whole = len(over) == len(rt)
-            split = self.pattern.findall(last + over)
-            # the pattern agrees from here on if both splits have the same last piece
-            if whole or len(firsts) == k and split[-1] == firsts[-1] and len(split) > 1:
-                break
-            k *= 2
-        head, rest = self._cut(ri, len(over.encode()), from_end=False)
-        if split[0] == last:
-            tokens = tail + [t for p in split[1:] for t in self._piece(p)]
-        elif split[0] == last + firsts[0]:
-            first, _ = self._cut(head, len(firsts[0].encode()), from_end=False)
-            tokens = self.join_tokens(tail, first) + [t for p in split[1:] for t in self._piece(p)]
-        else:
-            tokens = [t for p in split for t in self._piece(p)]
+        at, to = self._last_edge(lt), self._first_edge(rt)
+        before, after = lt[at:], rt[:to]
+        kept, tail = self._cut(li, len(before.encode()), from_end=True)
+        head, rest = self._cut(ri, len(after.encode()), from_end=False)
+        tokens: list[int] = []
+        for m in self.pattern.finditer(before + after):
+            x, y = before[m.start() :], after[: max(0, m.end() - len(before))]
+            if x and y and self.pattern.findall(before)[-1] == x and self.pattern.match(after)[0] == y:
+                tokens += self.join_tokens(self._cut(tail, len(x.encode()), from_end=True)[1], self._cut(head, len(y.encode()), from_end=False)[0])
+            else:
+                tokens += self._piece(m[0])
         return lt + rt, kept + tokens + rest
 
     def _piece(self, text: str) -> list[int]:
         return self.tree(text.encode())
 
-    def _last_piece(self, text: str) -> str:
-        """The last piece of a text, split from the last blank after something that isn't blank."""
-        start = max((m.start() + 1 for m in regex.finditer(r"(?r)\S\s", text[-4096:])), default=None)
-        at = 0 if start is None else max(0, len(text) - 4096) + start
-        piece = ""
-        for m in self.pattern.finditer(text, at):
-            piece = m[0]
-        return piece
+    def _last_edge(self, text: str) -> int:
+        """Where the last blank after something that isn't blank is: no piece ever goes across it."""
+        m = self.edge_back.search(text)
+        return m.start() + 1 if m else 0
+
+    def _first_edge(self, text: str) -> int:
+        m = self.edge.search(text)
+        return m.start() + 1 if m else len(text)
 
     def _cut(self, ids: list[int], size: int, from_end: bool) -> tuple[list[int], list[int]]:
         """Two parts of ``ids``, the last or the first of which has ``size`` bytes."""

@@ -32,6 +32,13 @@ def test_text_join_equals_plain_encoding(seed):
         assert CODEC.join_texts((left, CODEC.encode(left)), (right, CODEC.encode(right))) == (t, CODEC.plain(t))
 
 
+@pytest.mark.parametrize("t", ["they're we've I'll", "x 'they''re' I'd  \n's", "we've" * 3 + "'" * 5 + "ll"])
+def test_text_join_at_every_cut(t):
+    for at in range(len(t) + 1):
+        left, right = t[:at], t[at:]
+        assert CODEC.join_texts((left, CODEC.encode(left)), (right, CODEC.encode(right))) == (t, CODEC.plain(t)), at
+
+
 def test_long_unsplit_piece():
     r = random.Random(3)
     for alphabet in ("ab", "abcdefghij", "é日x"):
