@@ -226,186 +226,6 @@ def _verdicts(model: Model | None, text: pa.Array, scorer: Scorer | None) -> tup
     return count, scores, [bool(model) and x > model.threshold for x in scores]
 
 
-def score(self, gains: list[int]) -> float:
-        if not gains:
-            return 0.0
-        found = []
-        for r, run, (level, share, scale) in zip(RUNS, self.runs(gains), self.model.tails):
-            found.append((run.max() - level) / scale - np.log(share) - np.log(len(gains) / r))
-        return float(max(found) / np.log(10))
-
-
-def toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Words that are in far more of the toxic texts than of the ordinary ones."""
-    n1, n0 = len(toxic), len(ordinary)
-    there = Counter(w for t in toxic for w in set(words(t)))
-    elsewhere = Counter(w for t in ordinary for w in set(words(t)))
-    out = set()
-    for w, c in there.items():
-        p1, p0, p = c / n1, elsewhere[w] / n0, (c + elsewhere[w]) / (n1 + n0)
-        error = (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
-        if c >= LEAST_ROWS and p1 >= RATIO * (elsewhere[w] + 1) / (n0 + 1) and p1 - p0 >= 5 * error:
-            out.add(w)
-    return out
-
-
-def _trained(samples: list[bytes]) -> bytes:
-    try:
-        return zstd.train_dictionary(CAPACITY, samples, level=3).as_bytes()
-    except zstd.ZstdError:  # too little text to train on: the text itself is the dictionary
-        return b"".join(dict.fromkeys(samples))[-CAPACITY:]
-
-
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The ordinary one, trained on windows without toxic words; the toxic one, trained on the toxic words of toxic windows; words that the trainer left out stand before its content."""
-    bad = toxic_words(toxic, ordinary)
-    plain = _trained([w for t in ordinary for w in windows(b"".join(x for x in words(t) if x not in bad))])
-    if not bad:
-        return plain, b""
-    content = _trained([b"".join(found) for t in toxic for w in windows(t) if (found := [x for x in words(w) if x in bad])])
-    return plain, b"".join(sorted(w for w in bad if w not in content))[-CAPACITY:] + content
-
-
-def fit(toxic: list[bytes | str], ordinary: list[bytes | str]) -> Model | None:
-    """Train on the toxic and every second ordinary text, and calibrate on the other ordinary texts, which nothing in the training sees."""
-    toxic, ordinary = ([t for t in dict.fromkeys(x) if coded(t)] for x in (toxic, ordinary))
-    if not toxic or not ordinary:
-        return None
-    seen, held = ordinary[::2], ordinary[1::2] or ordinary
-    model = Model(*dictionaries([*map(coded, toxic)], [*map(coded, seen)]), 0.0, (), 0.0)
-    scorer = Scorer(model)
-    gains = [scorer.gains(t) for t in held]
-    scorer.model = model = replace(model, mean=float(np.mean([x for g in gains for x in g])))
-    of_length: list[list[np.ndarray]] = [[] for _ in RUNS]
-    for g in gains:
-        for found, run in zip(of_length, scorer.runs(g)):
-            found.append(run)
-    tails: list[tuple[float, float, float]] = []
-    for found in of_length:
-        if not found or len(run := np.concatenate(found)) < 1 / TAIL:
-            # too few runs of this length: they vary as independent ones of the length before do
-            level, share, scale = tails[-1] if tails else (0.0, 1.0, 1.0)
-            tails.append((level * 2**0.5, share, scale * 2**0.5))
-            continue
-        level = float(np.quantile(run, 1 - TAIL))
-        beyond = run[run > level]
-        share, scale = max(len(beyond), 1) / len(run), max(0.5, float((beyond - level).mean()) if len(beyond) else 0.0)
-        # a run holds shorter ones, so its tail is no lighter than theirs, however few texts are that long
-        tails.append((max(level, tails[-1][0]), share, max(scale, tails[-1][2])) if tails else (level, share, scale))
-    scorer.model = model = replace(model, tails=tuple(tails))
-    scores = sorted((scorer.score(g) for g in gains), reverse=True)
-    rank = max(1, int(FALSE_POSITIVES * (len(scores) + 1)))
-    return replace(model, threshold=max(-float(np.log10(FALSE_POSITIVES)), scores[rank - 1]))
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled documents of each class, chosen by a hash of the id."""
-    said = pick(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).cache()
-    picked = functools.reduce(DataFrame.unionByName, [said.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, rows[0]), (0, rows[1]))])
-    found = id_text(docs).join(F.broadcast(picked), "doc_id").where("text is not null").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    said.unpersist()
-    found.sort(key=lambda r: r["doc_id"])
-    return fit(*([r["text"] for r in found if r["toxic"] == k] for k in (1, 0)))
-
-
-def _verdicts(model: Model | None, text: pa.Array, scorer: Scorer | None) -> tuple[list[int], list[float], list[bool]]:
-    count, scores = [], []
-    for t in text.to_pylist():
-        data = coded(t) if t else b""
-        count.append(-(-len(data) // (WINDOW * CODE)))
-        scores.append(scorer.score(scorer.gains(data)) if scorer else 0.0)
-    return count, scores, [bool(model) and x > model.threshold for x in scores]
-
-
-def score(self, gains: list[int]) -> float:
-        if not gains:
-            return 0.0
-        found = []
-        for r, run, (level, share, scale) in zip(RUNS, self.runs(gains), self.model.tails):
-            found.append((run.max() - level) / scale - np.log(share) - np.log(len(gains) / r))
-        return float(max(found) / np.log(10))
-
-
-def toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Words that are in far more of the toxic texts than of the ordinary ones."""
-    n1, n0 = len(toxic), len(ordinary)
-    there = Counter(w for t in toxic for w in set(words(t)))
-    elsewhere = Counter(w for t in ordinary for w in set(words(t)))
-    out = set()
-    for w, c in there.items():
-        p1, p0, p = c / n1, elsewhere[w] / n0, (c + elsewhere[w]) / (n1 + n0)
-        error = (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
-        if c >= LEAST_ROWS and p1 >= RATIO * (elsewhere[w] + 1) / (n0 + 1) and p1 - p0 >= 5 * error:
-            out.add(w)
-    return out
-
-
-def _trained(samples: list[bytes]) -> bytes:
-    try:
-        return zstd.train_dictionary(CAPACITY, samples, level=3).as_bytes()
-    except zstd.ZstdError:  # too little text to train on: the text itself is the dictionary
-        return b"".join(dict.fromkeys(samples))[-CAPACITY:]
-
-
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The ordinary one, trained on windows without toxic words; the toxic one, trained on the toxic words of toxic windows; words that the trainer left out stand before its content."""
-    bad = toxic_words(toxic, ordinary)
-    plain = _trained([w for t in ordinary for w in windows(b"".join(x for x in words(t) if x not in bad))])
-    if not bad:
-        return plain, b""
-    content = _trained([b"".join(found) for t in toxic for w in windows(t) if (found := [x for x in words(w) if x in bad])])
-    return plain, b"".join(sorted(w for w in bad if w not in content))[-CAPACITY:] + content
-
-
-def fit(toxic: list[bytes | str], ordinary: list[bytes | str]) -> Model | None:
-    """Train on the toxic and every second ordinary text, and calibrate on the other ordinary texts, which nothing in the training sees."""
-    toxic, ordinary = ([t for t in dict.fromkeys(x) if coded(t)] for x in (toxic, ordinary))
-    if not toxic or not ordinary:
-        return None
-    seen, held = ordinary[::2], ordinary[1::2] or ordinary
-    model = Model(*dictionaries([*map(coded, toxic)], [*map(coded, seen)]), 0.0, (), 0.0)
-    scorer = Scorer(model)
-    gains = [scorer.gains(t) for t in held]
-    scorer.model = model = replace(model, mean=float(np.mean([x for g in gains for x in g])))
-    of_length: list[list[np.ndarray]] = [[] for _ in RUNS]
-    for g in gains:
-        for found, run in zip(of_length, scorer.runs(g)):
-            found.append(run)
-    tails: list[tuple[float, float, float]] = []
-    for found in of_length:
-        if not found or len(run := np.concatenate(found)) < 1 / TAIL:
-            # too few runs of this length: they vary as independent ones of the length before do
-            level, share, scale = tails[-1] if tails else (0.0, 1.0, 1.0)
-            tails.append((level * 2**0.5, share, scale * 2**0.5))
-            continue
-        level = float(np.quantile(run, 1 - TAIL))
-        beyond = run[run > level]
-        share, scale = max(len(beyond), 1) / len(run), max(0.5, float((beyond - level).mean()) if len(beyond) else 0.0)
-        # a run holds shorter ones, so its tail is no lighter than theirs, however few texts are that long
-        tails.append((max(level, tails[-1][0]), share, max(scale, tails[-1][2])) if tails else (level, share, scale))
-    scorer.model = model = replace(model, tails=tuple(tails))
-    scores = sorted((scorer.score(g) for g in gains), reverse=True)
-    rank = max(1, int(FALSE_POSITIVES * (len(scores) + 1)))
-    return replace(model, threshold=max(-float(np.log10(FALSE_POSITIVES)), scores[rank - 1]))
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled documents of each class, chosen by a hash of the id."""
-    said = pick(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).cache()
-    picked = functools.reduce(DataFrame.unionByName, [said.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, rows[0]), (0, rows[1]))])
-    found = id_text(docs).join(F.broadcast(picked), "doc_id").where("text is not null").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    said.unpersist()
-    found.sort(key=lambda r: r["doc_id"])
-    return fit(*([r["text"] for r in found if r["toxic"] == k] for k in (1, 0)))
-
-
-def _verdicts(model: Model | None, text: pa.Array, scorer: Scorer | None) -> tuple[list[int], list[float], list[bool]]:
-    gains = [scorer.gains(t.encode()) if scorer and t else [] for t in text.to_pylist()]
-    z = [scorer.score(g) if scorer else 0.0 for g in gains]
-    count = [len(g) if scorer else len(windows(t.encode())) if t else 0 for g, t in zip(gains, text.to_pylist() if not scorer else gains)]
-    return count, z, [bool(model) and x > model.threshold for x in z]
-
-
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row for each document: its windows, its score and whether it is toxic."""
 
