@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a
-    temporary folder takes its place.
+    Only where ``spark.checkpoint.dir`` is unset on one machine (tests) a
+    temporary folder takes its place; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="boscage-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,9 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths in the shared folder that are written and not yet released.
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete what was written at ``paths``."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored within is deleted at the end, when the results have been written elsewhere."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        release(spark, *[p for p in _written if p not in before])
 
 
 def local_path(uri: str) -> str | None:
@@ -120,6 +149,13 @@ def byte_lengths(text: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system, as workers live on for tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of ``batch`` with about ``limit`` bytes of text each.
 

@@ -15,21 +15,27 @@ occur in many documents last, so few sets meet that aren't alike.
    has its last prefix n-gram earlier share only what their prefixes share and
    what lies behind that one's prefix, so alike ones meet often. Groups
    that meet often enough for their sizes are candidate pairs.
-3. Candidate groups expand to their distinct sets, and every pair of sets,
-   within a group too, is verified: first by bitmaps, each n-gram of a set
-   flipping one bit of two or more for each n-gram, as sets differ in no
-   fewer n-grams than their bitmaps in bits; then on the whole sets.
-
-The result is in bicliques: each document of ``left_ids`` has with each other
-document of ``right_ids`` the given index. Documents with equal sets are
-one row, with themselves on both sides and an index of 1, and take part as one
+3. Candidate groups expand to their distinct sets, and every pair of sets is
+   verified: first by bitmaps, each n-gram of a set flipping one bit of two or
+   more for each n-gram, as sets differ in no fewer n-grams than their bitmaps in
+   bits; then on the whole sets. Pairs of sets of one group are never rows: the sets
+   of a group meet in tiles of ``BLOCK`` by ``BLOCK``, each compared by one task.
+
+``classes`` gives one row for each document: its class (the smallest doc_id of the
+documents that are alike to it over any number of steps), how many other documents have an
+equal set (``copies``), and to how many different sets its own is alike
+(``links``). Tasks count the links of what they compare and join it to forests, so
+pairs aren't rows there either. ``similar`` gives the pairs, in bicliques: each document of
+``left_ids`` has with each other document of ``right_ids`` the given index. Documents with
+equal sets are one row, with themselves on both sides and an index of 1, and take part as one
 in the others. So thousands of copies don't make millions of rows.
 
 n-grams and sets are told apart by 64-bit hashes. Defined cases: a
-null or empty text, or one without a letter or digit, is alike to nothing; rows
-with a null doc_id can't be named, so they are in no pair and always kept; rows
-of one doc_id are one document (``keep_one`` keeps all of them or none, but
-one only of those that are equal in text); sets of equal size tie by their
+null or empty text, or one without a letter or digit, is alike to nothing and a class
+of its own; rows with a null doc_id can't be named, so they are in no class and always kept; rows
+of one doc_id are one document: its class has what any of its texts is alike to, its
+links and copies are those of its different sets together, and ``keep_one`` keeps all of
+its rows or none, but one only of those that are equal in text; sets of equal size tie by their
 smallest doc_id; an empty table gives no rows; texts are taken whole; further
 columns may have any name.
 """
@@ -45,20 +51,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, as_batch, checkpoint, id_text, join_side, slices, stored, table, utf8_buffer, without
+from .common import FOLD, as_batch, checkpoint, id_text, join_side, slices, stored, table, tidy, utf8_buffer, without
 
 WORDS, THRESHOLD = 3, 0.6
 #: An n-gram in more documents than this goes to the end of the order, if it is among the most frequent ``ORDERED``.
 FREQUENT, ORDERED = 10, 1 << 19
 #: Bits of an n-gram, beside those that name its part, by which it is counted for the order.
 COUNTED = 24
-#: n-grams that a worker gathers before it sends them on.
-GATHERED = 3 << 20
+#: n-grams that a worker gathers before it sends them on, and pairs that it counts together.
+GATHERED, COUNTED_PAIRS = 1 << 20, 1 << 19
+#: Bytes of text whose n-grams a worker makes at once, and for each part of the n-gram index.
+GRAM_BYTES, PART_BYTES = 1 << 19, 2 << 20
+#: Groups of a long list that meet in one task, and candidate pairs that are compared in one, about.
+LIST, PLACE_PAIRS = 1024, 20_000
 #: Meetings by which two groups may fall short, as n-grams of one set with equal shortened hashes (about 2**-40) meet once.
 SLACK = 3
 #: Sets of one cluster of candidates that are verified together, on each side.
 BLOCK = 256
-SCHEMA = "left_ids array<long>, right_ids array<long>, jaccard double"
+SCHEMA = "doc_id long, class_id long, copies long, links long"
 
 _K = 0x9E3779B97F4A7C15
 _INVERSE = pow(_K, -1, 1 << 64)
@@ -76,12 +86,16 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1), modulo 2**64."""
-    if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+    """base**0 to base**(n-1), modulo 2**64; remembered but for very long texts."""
+    kept = max(n, GRAM_BYTES + (1 << 16))
+    found = _powers.get(base)
+    if found is None or len(found) < n:
+        steps = np.full(kept, base, np.uint64)
         steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:n]
+        found = np.multiply.accumulate(steps)
+        if kept == GRAM_BYTES + (1 << 16):
+            _powers[base] = found
+    return found[:n]
 
 
 def gram_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +181,10 @@ def _described(text: pa.Array, order: Order, threshold: float) -> Iterator[tuple
         yield b - a, whole, prefix, group & ~0xFF | _size_class(b - a)
 
 
-def _bits(spark: SparkSession) -> int:
-    """log2 of the number of parts of the n-gram index: several for each shuffle partition."""
-    return min(24, max(4, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+def _bits(docs: DataFrame) -> int:
+    """log2 of the number of parts of the n-gram index, which follows the bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(24, max(4, math.ceil(math.log2(max(1, size / PART_BYTES)))))
 
 
 def _parts(grams: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -214,7 +229,7 @@ def frequent(docs: DataFrame, bits: int) -> Order:
             return as_batch(list(zip(*rows)), schema)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=GRAM_BYTES):
                 held.append(gram_sets(part.column("text"))[0])
                 n += len(held[-1])
                 if n > GATHERED:
@@ -222,6 +237,8 @@ def frequent(docs: DataFrame, bits: int) -> Order:
                     held, n = [], 0
         if n:
             yield send()
+            held.clear()
+        tidy()
 
     def total(key: tuple, group: pa.Table) -> pa.Table:
         once, more = _loose(group.column("once")), _loose(group.column("more"))
@@ -258,19 +275,29 @@ def _digest(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
 
 
-def distinct_sets(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
-    """One row for each distinct set: group, digest, size, bitmap, the documents that have it and the first of them."""
+def described(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
+    """(doc_id, grp, digest, size, bitmap) for each row; nulls and size 0 for one without a set. Written, as it is read several times."""
 
     def describe(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("bitmap", pa.binary())])
         for batch in batches:
-            for part in slices(batch):
-                rows = [(i, np.uint64(g[3]).astype(np.int64), _digest(g[1]), g[0], bitmap(g[1])) for i, g in zip(part.column("doc_id").to_pylist(), _described(part.column("text"), order, threshold)) if g]
-                if rows:
-                    yield as_batch(list(zip(*rows)), schema)
+            for part in slices(batch, limit=GRAM_BYTES):
+                found = _described(part.column("text"), order, threshold)
+                rows = [(i, np.uint64(g[3]).astype(np.int64), _digest(g[1]), g[0], bitmap(g[1])) if g else (i, None, None, 0, None) for i, g in zip(part.column("doc_id").to_pylist(), found)]
+                yield as_batch(list(zip(*rows)), schema)
+        tidy()
 
-    found = docs.mapInArrow(describe, "doc_id long, grp long, digest long, size int, bitmap binary")
-    return found.groupBy("grp", "digest", "size").agg(F.first("bitmap").alias("bitmap"), F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    return stored(docs.mapInArrow(describe, "doc_id long, grp long, digest long, size int, bitmap binary"), "ngram-sets")
+
+
+def members_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, grp, digest, size): every document with each of its sets, once."""
+    return rows.where("size > 0").select("doc_id", "grp", "digest", "size").distinct()
+
+
+def sets_of(members: DataFrame) -> DataFrame:
+    """One row for each distinct set: its first document, and how many have it. Counts are added up before they are shuffled."""
+    return members.groupBy("grp", "digest", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("documents"))
 
 
 def _meetings(groups: np.ndarray, starts: np.ndarray, reach: int) -> Iterator[np.ndarray]:
@@ -279,7 +306,7 @@ def _meetings(groups: np.ndarray, starts: np.ndarray, reach: int) -> Iterator[np
     cls = (groups & np.uint64(0xFF)).astype(np.int16)
     for n in np.unique(lengths[lengths > 1]).tolist():
         runs = starts[lengths == n]
-        step = max(1, (1 << 20) // (n * n))
+        step = max(1, (1 << 18) // (n * n))
         for at in range(0, len(runs), step):
             rows = runs[at : at + step, None]
             for lo in range(0, n - 1, 512):  # a long list in blocks of rows
@@ -301,16 +328,38 @@ def _added_up(pairs: list[np.ndarray], times: list[np.ndarray] | None = None) ->
     return flat[starts], np.add.reduceat(each, starts) if len(starts) else each
 
 
+def _blocks(members: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A long list in pairs of blocks, of which the second is empty where a block meets itself; blocks too far apart in size don't meet."""
+    members = members[np.argsort(members & np.uint64(0xFF), kind="stable")]
+    cls = (members & np.uint64(0xFF)).astype(np.int16)
+    starts = range(0, len(members), LIST)
+    for i in starts:
+        yield members[i : i + LIST], members[:0]
+        for j in range(i + LIST, len(members), LIST):
+            if cls[j] - cls[min(i + LIST, len(members)) - 1] > reach:
+                break
+            yield members[i : i + LIST], members[j : j + LIST]
+
+
+def _across(left: np.ndarray, right: np.ndarray, reach: int) -> Iterator[np.ndarray]:
+    """Pairs of one group of each block that are near enough in size, the smaller number first."""
+    for at in range(0, len(left), 256):
+        a, b = (x.ravel() for x in np.meshgrid(left[at : at + 256], right, indexing="ij"))
+        near = np.abs((a & np.uint64(0xFF)).astype(np.int16) - (b & np.uint64(0xFF)).astype(np.int16)) <= reach
+        yield np.stack([np.minimum(a[near], b[near]), np.maximum(a[near], b[near])], axis=1)
+
+
 def _counted_pairs(groups: np.ndarray, starts: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that meet in the runs of ``groups``, and how often."""
-    held, times, n = [], [], 0
+    held, times, n, limit = [], [], 0, COUNTED_PAIRS
     for pairs in _meetings(groups, starts, reach):
         held.append(pairs)
         times.append(np.ones(len(pairs), np.int64))
         n += len(pairs)
-        if n > 1 << 22:
+        if n > limit:
             held, times = ([x] for x in _added_up(held, times))
-            n = len(held[0]) // 2
+            limit = max(COUNTED_PAIRS, 2 * len(held[0]))
+            n = len(held[0])
     return _added_up(held, times)
 
 
@@ -350,7 +399,7 @@ def group_pairs(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
             return as_batch(list(zip(*((k, _short(grams[s], bits).tobytes(), groups[s].tobytes()) for k, s in _parts(grams, bits)))), schema)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=GRAM_BYTES):
                 for found in _described(part.column("text"), order, threshold):
                     if found and found[3] not in seen:
                         seen.add(found[3])
@@ -361,6 +410,8 @@ def group_pairs(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
                     held, seen, n = [], set(), 0
         if n:
             yield send()
+            held.clear()
+        tidy()
 
     def meet(group: pa.Table) -> pa.Table:
         grams, groups = _joined(group.column("grams"), np.uint32), _joined(group.column("groups"), np.uint64)
@@ -372,20 +423,31 @@ def group_pairs(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
         starts = np.unique(grams, return_index=True)[1]
         sizes = np.diff(np.concatenate([starts, [len(groups)]]))
         long = sizes > FREQUENT
-        homes = (_mix(groups[starts[long]]) >> np.uint64(64 - bits)).astype(np.int32)
-        lists: dict[int, list[np.ndarray]] = {}
-        for home, at, n in zip(homes.tolist(), starts[long].tolist(), sizes[long].tolist()):
-            lists.setdefault(home, []).append(groups[at : at + n])
+        lists: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for at, n in zip(starts[long].tolist(), sizes[long].tolist()):
+            for x, y in _blocks(groups[at : at + n], reach):
+                home = _mix(x[:1] * _PLACE[0] + (y[:1] if len(y) else x[:1])) >> np.uint64(64 - bits)
+                lists.setdefault(int(home[0]), []).append((np.sort(x), y))
         short = np.repeat(~long, sizes)
         n = sizes[~long]
         found = _by_part(*_counted_pairs(groups[short], np.concatenate([[0], np.cumsum(n)])[:-1], reach), bits)
-        kept = [(k, None, None, None, None, np.array([len(x) for x in own], np.uint32).tobytes(), np.concatenate(own).tobytes()) for k, own in lists.items()]
+        kept = [(k, None, None, None, None, np.array([len(z) for pair in own for z in pair], np.uint32).tobytes(), np.concatenate([z for pair in own for z in pair]).tobytes()) for k, own in lists.items()]
         return _table([(*row, None, None) for row in found] + kept, ["part", "first", "runs", "second", "times", "sizes", "members"])
 
     def at_home(group: pa.Table) -> pa.Table:
-        sizes = _joined(group.column("sizes"), np.uint32).astype(np.int64)
-        pairs, times = _counted_pairs(_joined(group.column("members"), np.uint64), np.concatenate([[0], np.cumsum(sizes)])[:-1], reach)
-        return _table(_by_part(pairs, times, bits), ["part", "first", "runs", "second", "times"])
+        members = np.split(_joined(group.column("members"), np.uint64), np.cumsum(_joined(group.column("sizes"), np.uint32).astype(np.int64))[:-1])
+        own = [x for x, y in zip(members[::2], members[1::2]) if not len(y)]
+        flat, sizes = np.concatenate([*own, members[0][:0]]), [len(x) for x in own]
+        found = [_counted_pairs(flat, np.cumsum([0, *sizes])[:-1], reach)] if own else []
+        n = 0
+        for x, y in zip(members[::2], members[1::2]):
+            for pairs in _across(x, y, reach) if len(y) else ():
+                found.append((pairs, np.ones(len(pairs), np.int64)))
+                n += len(pairs)
+                if n > COUNTED_PAIRS:
+                    found, n = [_added_up(*map(list, zip(*found)))], 0
+        tidy()
+        return _table(_by_part(*_added_up(*map(list, zip(*found))), bits), ["part", "first", "runs", "second", "times"])
 
     def once(group: pa.Table) -> pa.Table:
         first = np.repeat(_joined(group.column("first"), np.uint64), _joined(group.column("runs"), np.uint32))
@@ -401,14 +463,11 @@ def group_pairs(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
 
 
 def candidates(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of distinct sets to verify: those of candidate groups, and those within a group."""
+    """Pairs of distinct sets of different candidate groups, to verify."""
     own = sets.select("grp", "digest", "size")
     right = sets.select(F.col("grp").alias("other"), F.col("digest").alias("digest2"), F.col("size").alias("size2"))
     across = pairs.join(own, "grp").join(right, "other")
-    several = own.groupBy("grp").count().where("count > 1").select("grp")
-    within = own.join(several, "grp").join(right.withColumnRenamed("other", "grp"), "grp").where("digest < digest2")
-    columns = ["digest", "size", "digest2", "size2"]
-    return across.select(columns).unionByName(within.select(columns)).where(F.least("size", "size2") >= F.greatest("size", "size2") * F.lit(threshold) - 1e-9)
+    return across.select("digest", "size", "digest2", "size2").where(F.least("size", "size2") >= F.greatest("size", "size2") * F.lit(threshold) - 1e-9)
 
 
 def _placed(found: DataFrame) -> DataFrame:
@@ -417,12 +476,15 @@ def _placed(found: DataFrame) -> DataFrame:
     Pairs are laid out in blocks of sets around the first partner of their right
     side, so a set travels once to each block that needs it, not once a pair.
     """
-    places = 4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.withColumn("centre", F.min("digest").over(Window.partitionBy("digest2")))
-    blocks = F.greatest(F.lit(1), F.ceil(F.sqrt(2.0 * F.count("*").over(Window.partitionBy("centre"))) / BLOCK))
+    found = stored(found, "ngram-candidates")
+    places = max(16, found.count() // PLACE_PAIRS)
+    found = stored(found.join(found.groupBy("digest2").agg(F.min("digest").alias("centre")), "digest2"), "ngram-centres")
+    # only centres of very many pairs take several blocks, so there are few of them
+    wide = found.groupBy("centre").count().where(F.col("count") > BLOCK * BLOCK // 2).select("centre", F.ceil(F.sqrt(2.0 * F.col("count")) / BLOCK).alias("blocks"))
+    found = join_side(found, wide, "centre", "left", 16).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     of = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
     place = F.pmod(F.xxhash64("centre", of("digest"), of("digest2")), F.lit(places)).cast("int")
-    return found.withColumn("blocks", blocks).select(place.alias("place"), "digest", "digest2", "size", "size2")
+    return found.select(place.alias("place"), "digest", "digest2", "size", "size2")
 
 
 def _needed(placed: DataFrame) -> DataFrame:
@@ -431,98 +493,209 @@ def _needed(placed: DataFrame) -> DataFrame:
     return placed.select(ends.alias("digest"), F.col("place").alias("place")).distinct()
 
 
-def _by_bitmap(sets: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+def _by_bitmap(bitmaps: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
     """The placed pairs whose bitmaps let them be alike."""
 
     def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
         by = dict(zip(own.column("digest").to_pylist(), own.column("bitmap").to_pylist()))
         apart = np.array([bits_apart(by[x], by[y]) for x, y in zip(pairs.column("digest").to_pylist(), pairs.column("digest2").to_pylist())], np.int64)
         size = pairs.column("size").to_numpy().astype(np.int64) + pairs.column("size2").to_numpy()
+        tidy()
         return pairs.filter(pa.array((size - apart) / 2 >= threshold / (1 + threshold) * size - 1e-6))
 
-    at = _needed(placed).join(sets.select("digest", "bitmap"), "digest")
+    at = _needed(placed).join(bitmaps, "digest")
     return placed.groupBy("place").cogroup(at.groupBy("place")).applyInArrow(compare, placed.schema)
 
 
-def verify(docs: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """The candidate pairs whose whole sets are alike. Texts travel to the places, as they are smaller than their sets."""
-    placed = checkpoint(_by_bitmap(sets, checkpoint(_placed(found)), threshold))
-    needs = _needed(placed).join(sets.select("digest", F.col("ids")[0].alias("doc_id")), "digest").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "place")).alias("wanted"))
-
-    def compare(pairs: pa.Table, own: pa.Table) -> pa.Table:
-        grams, edges = gram_sets(own.column("text").combine_chunks())
-        by = {}
-        for digest, a, b in zip(own.column("digest").to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
-            if _digest(grams[a:b]) == digest:  # else another row with the same doc_id
-                by[digest] = grams[a:b]
-        overlap = []
-        for x, y in zip(pairs.column("digest").to_pylist(), pairs.column("digest2").to_pylist()):
-            a, b = by[x], by[y]
-            a, b = (a, b) if len(a) < len(b) else (b, a)
-            overlap.append(int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)))
-        size = pairs.column("size").to_numpy().astype(np.int64) + pairs.column("size2").to_numpy()
-        overlap = np.array(overlap, np.int64)
-        jaccard = overlap / np.maximum(1, size - overlap)
-        alike = pa.array(jaccard >= threshold - 1e-12)
-        return pairs.select(["digest", "digest2"]).append_column("jaccard", pa.array(jaccard)).filter(alike)
+def _grams_of(own: pa.Table) -> dict[int, np.ndarray]:
+    """The sets of (digest, text) rows by digest; another row with the same doc_id has another text, and is passed over."""
+    by = {}
+    for batch in own.select(["digest", "text"]).to_batches():
+        for part in slices(batch, limit=GRAM_BYTES):
+            grams, edges = gram_sets(part.column("text"))
+            for digest, a, b in zip(part.column("digest").to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
+                if digest not in by and _digest(grams[a:b]) == digest:
+                    by[digest] = grams[a:b].copy()
+    return by
 
-    texts = join_side(docs, needs, "doc_id", "inner", 64).select("text", F.explode("wanted").alias("w")).select("text", "w.digest", "w.place")
-    return placed.groupBy("place").cogroup(texts.groupBy("place")).applyInArrow(compare, "digest long, digest2 long, jaccard double")
 
-
-def _similar(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct sets, and verified pairs of them."""
-    docs = id_text(docs).where("doc_id is not null and text is not null")
-    order = frequent(docs, _bits(docs.sparkSession))
-    sets = checkpoint(distinct_sets(docs, order, threshold))
-    found = candidates(sets, group_pairs(docs, order, threshold), threshold)
-    return sets, verify(docs, sets, found, threshold)
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = (a, b) if len(a) < len(b) else (b, a)
+    overlap = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    return overlap / (len(a) + len(b) - overlap)
+
+
+class _Forest:
+    """Links of sets, counted, and the least set that each hangs together with."""
+
+    def __init__(self):
+        self.links: dict[int, int] = {}
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = self.up[y] = self.up.setdefault(y, y)
+            x = self.up[x]
+        return x
+
+    def add(self, x: int, y: int) -> None:
+        for z in (x, y):
+            self.links[z] = self.links.get(z, 0) + 1
+        low, high = sorted((self.root(x), self.root(y)))
+        self.up[high] = low
+
+    def table(self) -> pa.Table:
+        return pa.table({"digest": pa.array(list(self.links), pa.int64()), "links": pa.array(list(self.links.values()), pa.int64()), "root": pa.array([self.root(x) for x in self.links], pa.int64())})
+
+
+_PAIRS, _LINKS = "digest long, digest2 long, jaccard double", "digest long, links long, root long"
+
+
+def _collect(alike: Iterator[tuple[int, int, float]], pairs: bool) -> pa.Table:
+    """Alike sets as pairs, or as links counted and a forest."""
+    if pairs:
+        rows = list(zip(*alike)) or [(), (), ()]
+        return pa.table({"digest": pa.array(rows[0], pa.int64()), "digest2": pa.array(rows[1], pa.int64()), "jaccard": pa.array(rows[2], pa.float64())})
+    forest = _Forest()
+    for x, y, _ in alike:
+        forest.add(x, y)
+    return forest.table()
+
+
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (digest and more) with their set's text. Texts travel, as they are smaller than their sets."""
+    more = [c for c in wanted.columns if c != "digest"]
+    needs = wanted.join(reps, "digest").groupBy("rep").agg(F.collect_list(F.struct("digest", *more)).alias("wanted")).withColumnRenamed("rep", "doc_id")
+    return join_side(docs, needs, "doc_id", "inner", 64).select("text", F.explode("wanted").alias("w")).select("text", "w.*")
+
+
+def verify(docs: DataFrame, reps: DataFrame, bitmaps: DataFrame, found: DataFrame, threshold: float, pairs: bool) -> DataFrame:
+    """Of the candidate pairs, those whose whole sets are alike."""
+    placed = stored(_by_bitmap(bitmaps, stored(_placed(found), "ngram-placed"), threshold), "ngram-near")
+
+    def compare(near: pa.Table, own: pa.Table) -> pa.Table:
+        by = _grams_of(own)
+        each = ((x, y, _jaccard(by[x], by[y])) for x, y in zip(near.column("digest").to_pylist(), near.column("digest2").to_pylist()))
+        out = _collect((z for z in each if z[2] >= threshold - 1e-12), pairs)
+        del by
+        tidy()
+        return out
+
+    texts = _texts(docs, reps, _needed(placed))
+    return placed.groupBy("place").cogroup(texts.groupBy("place")).applyInArrow(compare, _PAIRS if pairs else _LINKS)
+
+
+def within(docs: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float, pairs: bool) -> DataFrame:
+    """The alike sets of one group, which is laid out in tiles of blocks of its sets."""
+    several = sets.groupBy("grp").count().where("count > 1").select("grp", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    own = sets.select("grp", "digest").join(several, "grp").withColumn("b", F.pmod(F.xxhash64("digest"), "blocks"))
+    own = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = stored(own.select("digest", F.xxhash64("grp", F.least("b", "k"), F.greatest("b", "k")).alias("tile"), F.col("b").alias("block")), "ngram-tiles")
+    places = max(16, tiles.count() // BLOCK)
+    tiles = tiles.withColumn("place", F.pmod("tile", F.lit(places)).cast("int"))
+
+    def compare(own: pa.Table) -> pa.Table:
+        by = _grams_of(own)
+        of: dict[int, dict[int, list[int]]] = {}
+        for tile, block, digest in zip(*(own.column(n).to_pylist() for n in ("tile", "block", "digest"))):
+            if digest in by:
+                of.setdefault(tile, {}).setdefault(block, []).append(digest)
+
+        def met():
+            for blocks in of.values():
+                (left, *right) = (sorted(set(x)) for x in blocks.values())
+                yield from ((x, y) for x in left for y in right[0]) if right else ((x, y) for i, x in enumerate(left) for y in left[i + 1 :])
+
+        each = ((x, y, _jaccard(by[x], by[y])) for x, y in met())
+        out = _collect((z for z in each if z[2] >= threshold - 1e-12), pairs)
+        del by
+        tidy()
+        return out
+
+    return _texts(docs, reps, tiles).groupBy("place").applyInArrow(compare, _PAIRS if pairs else _LINKS)
+
+
+def _similar(docs: DataFrame, threshold: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows as described, members and distinct sets, and what is alike of these: pairs, or links and forests."""
+    docs = id_text(docs).where("doc_id is not null")
+    texts = docs.where("text is not null")
+    order = frequent(texts, _bits(texts))
+    rows = described(docs, order, threshold)
+    members = checkpoint(members_of(rows))
+    sets = checkpoint(sets_of(members))
+    reps = sets.select("digest", "rep")
+    bitmaps = rows.where("size > 0").select("digest", F.col("doc_id").alias("rep"), "bitmap").join(reps, ["digest", "rep"], "left_semi").dropDuplicates(["digest"]).select("digest", "bitmap")
+    found = candidates(sets, group_pairs(texts, order, threshold), threshold)
+    near = verify(texts, reps, bitmaps, found, threshold, pairs).unionByName(within(texts, sets, reps, threshold, pairs))
+    return rows, members, sets, near
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of documents with a Jaccard index of at least ``threshold``, as bicliques."""
-    sets, pairs = _similar(docs, threshold)
-    a = sets.select("digest", F.col("ids").alias("a"))
-    b = sets.select(F.col("digest").alias("digest2"), F.col("ids").alias("b"))
-    near = pairs.join(a, "digest").join(b, "digest2")
+    _, members, sets, pairs = _similar(docs, threshold, True)
+    ids = members.groupBy("digest").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    ids = checkpoint(ids)
+    near = pairs.join(ids.select("digest", F.col("ids").alias("a")), "digest").join(ids.select(F.col("digest").alias("digest2"), F.col("ids").alias("b")), "digest2")
     swap = F.col("a")[0] > F.col("b")[0]
     near = near.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("left_ids"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("right_ids"), "jaccard")
-    equal = sets.where(F.size("ids") > 1).select(F.col("ids").alias("left_ids"), F.col("ids").alias("right_ids"), F.lit(1.0).alias("jaccard"))
+    equal = ids.where(F.size("ids") > 1).select(F.col("ids").alias("left_ids"), F.col("ids").alias("right_ids"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(equal)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, first): the smallest node of each node's component, for nodes of ``edges`` (u, v) that aren't the smallest."""
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    by_u = Window.partitionBy("u")
     before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while not edges.isEmpty():
         # every larger neighbour of u goes to the least around u
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # then u and its smaller neighbours go to the least of them
-        small = large.withColumn("m", F.min("v").over(by_u))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v")))
+        large = checkpoint(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = checkpoint(small.distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("first"))
+            break
         before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("first"))
+
+
+def _with_sets(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Join members with what is known of their sets; of a set that a thousandth of all members have, by a broadcast, so that no task gets them all."""
+    most = max(1000, members.count() // 1000)
+    hot = checkpoint(known.where(F.col("documents") > most))  # at most a thousand
+    common = members.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(known, "digest")
+    return members.join(F.broadcast(hot), "digest").unionByName(common)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each doc_id: its class, the other documents with an equal set, and the different sets that are alike."""
+    rows, members, sets, near = _similar(docs, threshold, False)
+    near = stored(near, "ngram-links")
+    reps = sets.select("digest", "rep")
+    roots = near.where("digest <> root").select("digest", "root").join(reps, "digest").join(reps.select(F.col("digest").alias("root"), F.col("rep").alias("other")), "root")
+    members = members.select("doc_id", "digest")
+    # the sets of a document with several are one
+    several = members.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    own = join_side(members, several, "doc_id", "left_semi", 16).join(reps, "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    first = components(roots.select(F.col("rep").alias("u"), F.col("other").alias("v")).unionByName(own))
+    known = sets.join(near.groupBy("digest").agg(F.sum("links").alias("links")), "digest", "left").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    known = checkpoint(known.select("digest", "documents", F.coalesce("first", "rep").alias("class_id"), (F.col("documents") - 1).alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+    columns = ["doc_id", "class_id", "copies", "links"]
+    bare = rows.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"))
+    every = _with_sets(members, known).select(columns).unionByName(bare)
+    return every.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("copies").alias("copies"), F.sum("links").alias("links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without those that are alike, over any number of steps, to one with a smaller doc_id."""
-    sets, pairs = _similar(docs, threshold)
-    first = sets.select("digest", F.col("ids")[0].alias("rep"))
-    edges = pairs.join(first.withColumnRenamed("rep", "u"), "digest").join(first.select(F.col("digest").alias("digest2"), F.col("rep").alias("v")), "digest2").select("u", "v")
-    later = components(edges)
-    gone = sets.select(F.col("ids")[0].alias("rep"), F.explode("ids").alias("doc_id")).join(later.select(F.col("node").alias("rep"), "first"), "rep", "left")
-    gone = gone.where(F.col("first").isNotNull() | (F.col("doc_id") != F.col("rep"))).select("doc_id").distinct()
-    return without(docs, checkpoint(gone))
+    return without(docs, checkpoint(classes(docs, threshold).where("doc_id <> class_id").select("doc_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -534,12 +707,21 @@ def _words(column: str) -> str:
 
 
 SQL = f"""
-WITH doc AS (SELECT doc_id, w FROM (SELECT doc_id, {_words('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE w <> ['']),
-gram AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {WORDS - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WORDS - 1}) + 1)) AS k FROM doc)),
-sets AS (SELECT list_sort(list(doc_id)) AS ids, min(doc_id) AS rep, max(n) AS n FROM (SELECT doc_id, count(*) AS n, list_sort(list(g)) AS gs FROM gram GROUP BY doc_id) GROUP BY gs),
-own AS (SELECT rep, n, g FROM sets JOIN gram ON doc_id = rep),
-shared AS (SELECT a.rep AS x, b.rep AS y, a.n AS n, b.n AS m, count(*) AS o FROM own a JOIN own b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
-near AS (SELECT x, y, CAST(o AS DOUBLE) / (n + m - o) AS jaccard FROM shared WHERE CAST(o AS DOUBLE) / (n + m - o) >= {THRESHOLD - 1e-12!r})
-SELECT a.ids AS left_ids, b.ids AS right_ids, jaccard FROM near JOIN sets a ON a.rep = x JOIN sets b ON b.rep = y
-UNION ALL SELECT ids, ids, 1.0::DOUBLE FROM sets WHERE len(ids) > 1
+WITH RECURSIVE row_of AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+doc AS (SELECT r, doc_id, w FROM (SELECT r, doc_id, {_words('text')} AS w FROM row_of WHERE text IS NOT NULL) WHERE w <> ['']),
+gram AS (SELECT DISTINCT r, array_to_string(w[k:k + {WORDS - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - {WORDS - 1}) + 1)) AS k FROM doc)),
+one AS (SELECT r, list_sort(list(g)) AS gs FROM gram GROUP BY r),
+sets AS (SELECT min(r) AS s, min(doc_id) AS rep, count(DISTINCT doc_id) AS documents, gs FROM one JOIN doc USING (r) GROUP BY gs),
+member AS (SELECT DISTINCT doc_id, s FROM one JOIN doc USING (r) JOIN sets USING (gs)),
+own AS (SELECT s, len(gs) AS n, unnest(gs) AS g FROM sets),
+shared AS (SELECT a.s AS x, b.s AS y, a.n AS n, b.n AS m, count(*) AS o FROM own a JOIN own b ON a.g = b.g AND a.s <> b.s GROUP BY ALL),
+near AS (SELECT x, y FROM shared WHERE CAST(o AS DOUBLE) / (n + m - o) >= {THRESHOLD - 1e-12!r}),
+link AS (SELECT x AS s, count(*) AS links FROM near GROUP BY x),
+edge AS (SELECT a.rep AS u, b.rep AS v FROM near JOIN sets a ON a.s = x JOIN sets b ON b.s = y
+         UNION SELECT doc_id, rep FROM member JOIN sets USING (s) UNION SELECT rep, doc_id FROM member JOIN sets USING (s)),
+reach(u, v) AS (SELECT u, v FROM edge UNION SELECT reach.u, edge.v FROM reach JOIN edge ON reach.v = edge.u),
+known AS (SELECT doc_id, sum(documents - 1) AS copies, sum(coalesce(links, 0)) AS links FROM member JOIN sets USING (s) LEFT JOIN link USING (s) GROUP BY doc_id)
+SELECT doc_id, CAST(least(doc_id, coalesce((SELECT min(v) FROM reach WHERE u = doc_id), doc_id)) AS BIGINT) AS class_id,
+       CAST(coalesce(any_value(copies), 0) AS BIGINT) AS copies, CAST(coalesce(any_value(links), 0) AS BIGINT) AS links
+FROM row_of LEFT JOIN known USING (doc_id) GROUP BY doc_id
 """

@@ -133,3 +133,60 @@ def test_meetings_count_every_pair():
         for x, y in combinations(groups[a:b].tolist(), 2):
             want[x, y] += 1
     assert dict(zip(map(tuple, pairs.tolist()), times.tolist())) == want
+
+
+def brute_classes(rows, threshold):
+    """{doc_id: (class, copies, links)} of rows (doc_id, text), by comparing all sets."""
+    sets = defaultdict(set)
+    ids = {i for i, _ in rows if i is not None}
+    for i, t in rows:
+        found = brute_sets([(i, t)])
+        if found:
+            sets[found[i]].add(i)
+    near = [(a, b) for a, b in combinations(sets, 2) if len(a & b) / len(a | b) >= threshold - 1e-12]
+    edges = [(min(sets[a]), min(sets[b])) for a, b in near] + [(i, min(own)) for own in sets.values() for i in own]
+    first = components(edges, ids)
+    links = defaultdict(int)
+    for pair in near:
+        for x in pair:
+            links[x] += 1
+    return {i: (first[i], sum(len(own) - 1 for own in sets.values() if i in own), sum(links[s] for s, own in sets.items() if i in own)) for i in ids}
+
+
+@pytest.mark.parametrize("seed,threshold", [(11, 0.6), (12, 0.35), (13, 1.0)])
+def test_classes_equal_brute_force(spark, monkeypatch, seed, threshold):
+    monkeypatch.setattr(nj, "BLOCK", 2)
+    rows = corpus(seed) + [(1, "a b c d"), (1, "x y z w"), (2, "a b c d"), (300, "x y z w"), (3, None), (400, ""), (401, None), (None, "a b c d"), (402, "a b c d"), (402, "a b c d")]
+    got = nj.classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()
+    assert len(got) == len({r.doc_id for r in got})
+    assert {r.doc_id: (r.class_id, r.copies, r.links) for r in got} == brute_classes(rows, threshold)
+
+
+def test_classes_of_sets_with_one_prefix(spark, monkeypatch):
+    """Sets that differ only behind their prefix are one group, and meet in tiles."""
+    monkeypatch.setattr(nj, "BLOCK", 2)
+    often = [f"c{k}" for k in range(40)]
+    rare = " ".join(f"r{k}" for k in range(30))
+    rows = [(k, " ".join(often[j : j + 12])) for j in range(28) for k in range(1000 + 40 * j, 1040 + 40 * j)]
+    rows += [(k, f"{rare} . " + " ".join(often[k : k + 12])) for k in range(25)]
+    got = nj.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 0.5).collect()
+    assert {r.doc_id: (r.class_id, r.copies, r.links) for r in got} == brute_classes(rows, 0.5)
+
+
+def test_classes_of_awkward_rows(spark):
+    got = {r.doc_id: r for r in nj.classes(awkward(spark)).collect()}
+    assert None not in got and got[0].class_id == got[1].class_id == got[50].class_id == 0 and got[0].copies == 2
+    assert all((got[i].class_id, got[i].copies, got[i].links) == (i, 0, 0) for i in (2, 3, 4, 5))
+    assert nj.classes(empty(spark)).collect() == []
+
+
+def test_blocks_of_a_long_list_meet_as_the_list_does(monkeypatch):
+    monkeypatch.setattr(nj, "LIST", 7)
+    r = np.random.default_rng(3)
+    members = np.unique(r.integers(1, 1 << 40, 60, dtype=np.uint64) << np.uint64(8) | r.integers(0, 60, 60, dtype=np.uint64))
+    want = {tuple(p) for p in np.concatenate(list(nj._meetings(members, np.array([0]), 9))).tolist()}
+    got = []
+    for x, y in nj._blocks(members, 9):
+        found = nj._across(x, y, 9) if len(y) else nj._meetings(np.sort(x), np.array([0]), 9)
+        got += [tuple(p) for part in found for p in part.tolist()]
+    assert len(got) == len(set(got)) and set(got) == want
