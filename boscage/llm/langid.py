@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
 All languages share one table of slots; a slot holds one bit for each
-language. An n-gram is looked up at ``HASHES`` slots, and the AND of what they
+language, 64 of them in a plane. An n-gram is looked up at ``HASHES`` slots, and the AND of what they
 hold is the set of languages that (but for false positives) contain it. The
 bits are counted for each language over a whole text, and the counts are
 corrected by the filter's known false-positive rate; the largest share of a
@@ -43,6 +43,7 @@ _PLAIN = np.where(_LETTER, np.arange(256), 32).astype(np.uint8)
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
+    #: A row for each plane of up to 64 languages.
     slots: np.ndarray
     false_positive: np.ndarray
 
@@ -83,15 +84,13 @@ def _real(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fit(texts: dict[str, list[str]]) -> Model:
     """Filters of the n-grams that occur at least twice in a language's texts."""
     names = tuple(sorted(texts))
-    if len(names) > 64:
-        raise ValueError("one filter table holds at most 64 languages")
-    slots = np.zeros(1 << SLOT_BITS, np.uint8 if len(names) <= 8 else np.uint64)
+    slots = np.zeros((-(-len(names) // 64) or 1, 1 << SLOT_BITS), np.uint8 if len(names) <= 8 else np.uint64)
     for k, name in enumerate(names):
         data, offsets = prepare(pa.array(texts[name], pa.string()))
         grams, count = np.unique(_gram_values(data)[_real(data, offsets)], return_counts=True)
         for at in _at(grams[count > 1]):
-            slots[at] |= slots.dtype.type(1 << k)
-    fill = [np.count_nonzero(slots & slots.dtype.type(1 << k)) / len(slots) for k in range(len(names))]
+            slots[k // 64, at] |= slots.dtype.type(1 << k % 64)
+    fill = [np.count_nonzero(slots[k // 64] & slots.dtype.type(1 << k % 64)) / (1 << SLOT_BITS) for k in range(len(names))]
     return Model(names, slots, np.array(fill) ** HASHES)
 
 
@@ -117,15 +116,14 @@ def shares(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
     letters = np.add.reduceat((data != 32).astype(np.int64), edges) > 0 if n else np.zeros(0, bool)
     out = np.zeros((n, len(model.languages)))
     values = _gram_values(data)
-    mask = model.slots.dtype.type(0)
-    if len(values):
-        a, b, c = _at(values)
-        mask = model.slots[a] & model.slots[b] & model.slots[c]
-        mask[~ok] = 0
+    places = _at(values)
     for k in range(len(model.languages)):
+        if k % 64 == 0:
+            a, b, c = (model.slots[k // 64, at] for at in places)
+            mask = a & b & c
+            mask[~ok] = 0
         grams[:] = 0
-        if len(values):
-            grams[: len(ok)] = (mask >> model.slots.dtype.type(k)) & model.slots.dtype.type(1)
+        grams[: len(ok)] = (mask >> model.slots.dtype.type(k % 64)) & model.slots.dtype.type(1)
         hits = np.add.reduceat(grams, edges) if n else grams
         rate = model.false_positive[k]
         out[:, k] = np.maximum(0, (hits - total * rate) / (1 - rate)) / np.maximum(total, 1)

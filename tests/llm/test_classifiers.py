@@ -75,9 +75,46 @@ def test_language_awkward_rows(spark):
     assert langid.identify(empty(spark), langid.train(docs)).collect() == []
 
 
-def test_too_many_languages():
-    with pytest.raises(ValueError):
-        langid.fit({str(k): ["x"] for k in range(65)})
+def test_more_languages_than_a_plane_has_bits():
+    word = lambda k: "".join(chr(97 + (k * p + p) % 26) for p in (1, 3, 5, 7, 11, 17))
+    texts = {f"l{k:03}": [f"{word(k)} {word(k)[::-1]} x{chr(97 + k % 26)}{chr(97 + k // 26)}zq" * 6] * 2 for k in range(150)}
+    model = langid.fit(texts)
+    assert model.slots.shape[0] == 3
+    for k, name in enumerate(model.languages):
+        share, _, _ = langid.shares(model, pa.array(texts[name]))
+        assert share[0, k] > 0.999
+
+
+def test_shares_equal_exact_sets():
+    """The corrected filter counts against sets of n-grams, for each language and text."""
+    r = np.random.default_rng(5)
+    syllables = {"a": ["the", "ing", "wh", "ou", "st"], "b": ["sch", "ung", "ei", "ch", "der"], "c": ["eau", "oi", "que", "les", "ais"]}
+    text = lambda l: " ".join("".join(r.choice(syllables[l], r.integers(1, 4))) for _ in range(120))
+    train = {l: [text(l) for _ in range(30)] for l in syllables}
+    model = langid.fit(train)
+
+    def grams(t):
+        out = []
+        for w in [" " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "]:
+            b = w.encode()
+            out += [b[i : i + 4] for i in range(len(b) - 3)]
+        return out
+
+    sets = {}
+    for l, own in train.items():
+        count = {}
+        for t in own:
+            for g in grams(t):
+                count[g] = count.get(g, 0) + 1
+        sets[l] = {g for g, n in count.items() if n > 1}
+    for l in syllables:
+        t = text(l)
+        share, total, _ = langid.shares(model, pa.array([t]))
+        own = grams(t)
+        assert total[0] == len(own)
+        for k, name in enumerate(model.languages):
+            assert abs(share[0, k] - sum(g in sets[name] for g in own) / len(own)) < 0.02
+        assert model.languages[share[0].argmax()] == max(sets, key=lambda x: sum(g in sets[x] for g in own)) == l
 
 
 def test_host_rules_shrink(spark):
