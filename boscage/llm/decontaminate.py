@@ -10,9 +10,14 @@ is hashed to the bucket of strings to compare directly.
 
 Defined cases: null and empty texts and items match nothing; an item without a
 letter or digit has no test string; matches begin and end at word boundaries;
-equal items are each reported; texts are searched whole; repeated documents
-are reported once each; null doc_ids are reported as null; further columns may
-have any name.
+equal items are each reported, rows of one item_id are one item; texts are searched whole; repeated documents
+are reported once each; null doc_ids are reported as null; an empty table of either
+kind gives no rows; further columns may have any name.
+
+The distinct test strings travel by broadcast in parts of ``PASS_BYTES``, a documented bound of
+what a worker holds, and each part is searched in all documents. With one part, as
+usual, the documents are read once; with more, what the parts find in a
+document is added up, so the number of parts never changes the result.
 """
 
 from __future__ import annotations
@@ -24,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, id_text, keep_rows, pick, slices, table, utf8_buffer
+from .common import FOLD, as_batch, checkpoint, id_text, keep_rows, pick, slices, stored, table, tidy, utf8_buffer
 
 WORDS = 13
 #: Test strings shorter than this are searched apart, so that they don't shorten the others' skips.
 SHORT = 32
-#: Bytes of benchmark text that one pass over the documents looks for.
-PASS_BYTES = 16 << 20
+#: Bytes of test strings that one pass over the documents looks for.
+PASS_BYTES = 32 << 20
 SCHEMA = "doc_id long, item_id long, hits int, first_at int"
 
 
@@ -90,30 +95,55 @@ def matchers(patterns: dict[bytes, set[int]]) -> list[Matcher]:
     return [Matcher(part) for part in (short, {p: i for p, i in patterns.items() if p not in short}) if part]
 
 
-def _passes(benchmark: DataFrame) -> list[dict[bytes, set[int]]]:
-    """Test strings in groups of bounded size. Benchmarks are small; one beyond a group is searched in several passes."""
-    groups, size = [[]], 0
-    for r in pick(benchmark, item_id="long", text="string").where("item_id is not null and text is not null").toLocalIterator():
-        if size > PASS_BYTES:
-            groups.append([])
-            size = 0
-        groups[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    return [p for g in groups if (p := test_strings(g))]
+class _Passes:
+    """The distinct test strings in parts, each a broadcast of (string, items)."""
+
+    def __init__(self, benchmark: DataFrame):
+        def run(batches):
+            schema = pa.schema([("item_id", pa.int64()), ("string", pa.binary())])
+            for batch in batches:
+                rows = [(i, s) for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()) for s in test_strings([(i, t)])]
+                if rows:
+                    yield as_batch(list(zip(*rows)), schema)
+
+        items = pick(benchmark, item_id="long", text="string").where("item_id is not null and text is not null")
+        found = items.mapInArrow(run, "item_id long, string binary").groupBy("string").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+        found = checkpoint(found)
+        size = found.agg(F.sum(F.length("string"))).first()[0] or 0
+        self.spark, self.parts = benchmark.sparkSession, -(-size // PASS_BYTES)
+        self.found = found.withColumn("part", F.pmod(F.xxhash64("string"), F.lit(max(1, self.parts))))
+
+    def __iter__(self):
+        for k in range(self.parts):
+            rows = self.found.where(F.col("part") == k).select("string", "items").collect()
+            yield self.spark.sparkContext.broadcast({bytes(r["string"]): set(r["items"]) for r in rows})
+
+
+_kept: list = [None, []]
+
+
+def _matchers(patterns) -> list[Matcher]:
+    """The matchers of a broadcast, made once in a worker and kept for the tasks that follow."""
+    if _kept[0] is not patterns.value:
+        _kept[:] = patterns.value, matchers(patterns.value)
+    return _kept[1]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item whose test strings it has: how many occurrences, and where the first is in the folded text."""
-    docs = id_text(docs)
+    passes = _Passes(benchmark)
+    docs = id_text(docs).withColumn("row", F.monotonically_increasing_id() if passes.parts > 1 else F.lit(0).cast("long"))
+    if passes.parts > 1:
+        docs = stored(docs, "documents-to-search")
 
     def searcher(patterns):
         def run(batches):
-            machines = matchers(patterns)
-            schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("hits", pa.int32()), ("first_at", pa.int32())])
+            machines = _matchers(patterns)
+            schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("hits", pa.int32()), ("first_at", pa.int32())])
             for batch in batches:
                 rows = []
                 for part in slices(batch):
-                    for doc, text in zip(part.column("doc_id").to_pylist(), fold(*utf8_buffer(part.column("text")))):
+                    for row, doc, text in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), fold(*utf8_buffer(part.column("text")))):
                         found: dict[int, list[int]] = {}
                         for machine in machines:
                             for at, items in machine.search(text):
@@ -121,17 +151,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                                     hit = found.setdefault(item, [0, at])
                                     hit[0] += 1
                                     hit[1] = min(hit[1], at)
-                        rows += [(doc, item, n, at) for item, (n, at) in found.items()]
+                        rows += [(row, doc, item, n, at) for item, (n, at) in found.items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    yield as_batch(list(zip(*rows)), schema)
+            tidy()
 
         return run
 
-    out = None
-    for patterns in _passes(benchmark):
-        part = docs.mapInArrow(searcher(patterns), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+    out = docs.sparkSession.createDataFrame([], "row long, " + SCHEMA)
+    for k, patterns in enumerate(passes):
+        part = docs.mapInArrow(searcher(patterns), "row long, " + SCHEMA)
+        out = out.unionByName(part) if k else part
+    if passes.parts > 1:
+        out = out.groupBy("row", "doc_id", "item_id").agg(F.sum("hits").cast("int").alias("hits"), F.min("first_at").alias("first_at"))
+    return out.drop("row")
 
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -139,12 +172,12 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def cleaner(patterns):
         def decider():
-            machines = matchers(patterns)
+            machines = _matchers(patterns)
             return lambda text: [not any(True for machine in machines for _ in machine.search(t)) for t in fold(*utf8_buffer(text))]
 
         return decider
 
-    for patterns in _passes(benchmark):
+    for patterns in _Passes(benchmark):
         docs = keep_rows(docs, cleaner(patterns))
     return docs
 

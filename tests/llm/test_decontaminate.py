@@ -56,3 +56,17 @@ def test_several_passes(spark, monkeypatch):
     b = spark.createDataFrame([(1, "one two three"), (2, "four five six")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in dc.leaks(d, b).collect()) == [(1, 1), (2, 2)]
     assert [r.doc_id for r in dc.keep(d, b).collect()] == [3]
+
+
+def test_passes_never_change_the_result(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: r.choice("alpha beta gamma delta eps".split())
+    items = [(k % 6, " ".join(word() for _ in range(r.choice([2, 3, 16])))) for k in range(14)]
+    docs = [(k % 40, " ".join(word() for _ in range(60))) for k in range(50)] + [(3, "alpha " * 30), (3, "alpha " * 30)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    said = lambda: sorted(map(tuple, dc.leaks(d, b).collect()))
+    whole, kept = said(), sorted(map(tuple, dc.keep(d, b).collect()))
+    monkeypatch.setattr(dc, "PASS_BYTES", 40)
+    assert dc._Passes(b).parts > 3
+    assert whole and said() == whole and sorted(map(tuple, dc.keep(d, b).collect())) == kept
