@@ -46,7 +46,8 @@ from pyspark.sql import functions as F
 
 from .common import as_batch, checkpoint, join_side, pick, slices, stored, table
 
-SUPPORT, LEAST_PAGES, LEAST_SIZE = 0.5, 3, 3
+#: Share of a host's pages and number of pages that a class is on at least (so a host may have several layouts), and its tokens.
+SUPPORT, LEAST_PAGES, LEAST_SIZE = 0.2, 3, 3
 #: Tokens that a worker gathers before it looks which are frequent.
 GATHERED = 4 << 20
 #: The token that every page has once.
@@ -63,6 +64,7 @@ _SKIP = re.compile(r"<!--(?:.*?-->|.*\Z)|<(script|style)\b[^>]*>(?:.*?</\1\s*>|.
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _LINES = re.compile(r" *\n[ \n]*")
 _QUOTED = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*'|["'])*""")
+_BALANCED = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*""")
 _HOST = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -108,6 +110,23 @@ _path_of = _Known(lambda x: _hash(f"{x[0]}/{x[1]}"))
 _place, _before, _self = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
+def _whole_tag(part: str, parts: list[str], at: int) -> tuple[str, int]:
+    """A tag with those of ``parts`` (from ``at``) that an opening bracket within its quotes has cut off, and where the next begins.
+
+    A quote that isn't closed before a blank, a slash or the tag's end is a stray one.
+    """
+    while True:
+        rest = part[_BALANCED.match(part).end() :]
+        if rest[:1] not in ('"', "'"):
+            return part, at
+        to = at
+        while to < len(parts) and rest[0] not in parts[to]:
+            to += 1
+        if to == len(parts) or parts[to].partition(rest[0])[2][:1] not in tuple(" \t\r\n\f/>"):
+            return part, at
+        part, at = "<".join([part, *parts[at : to + 1]]), to + 1
+
+
 def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
     """The tokens of many pages: their keys, the page's own first, where each page begins, and their texts.
 
@@ -125,14 +144,18 @@ def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
         open_names: list[str] = []
         paths = [1]
         opened: dict[str, int] = defaultdict(int)
-        first = True
-        for part in _SKIP.sub("", page).split("<"):
-            if first:
-                first, text = False, part
+        parts = _SKIP.sub("", page).split("<")
+        at_part, n_parts = 0, len(parts)
+        while at_part < n_parts:
+            part = parts[at_part]
+            at_part += 1
+            if at_part == 1:
+                text = part
             else:
                 head, _, text = part.partition(">")
                 tag = tag_of(head)
-                if tag is not None and tag[0] is None:  # a closing bracket in quotes, or a stray quote
+                if tag is not None and tag[0] is None:  # a bracket in quotes, or a stray quote
+                    part, at_part = _whole_tag(part, parts, at_part)
                     head = _QUOTED.match(part)[0]
                     text = part[len(head) + 1 :]
                     tag = tag_of(_NAME.match(head)[0] + "/" * head.endswith("/"))
