@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from boscage.llm import bpe, decontaminate, langid, ngram_join, toxicity
-from boscage.llm.common import fresh_path, table
+from boscage.llm.common import fresh_path, release, scratch, table
 
 #: Name and function of each stage; a function takes the session, what the stage before returned, and the folder of the tables.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -27,10 +27,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token ids of the documents that all stages kept."""
-    docs = table(spark, sf_dir, "documents")
+    """The token ids of the documents that all stages kept.
+
+    Each stage handles nulls in any column, empty and very long texts, ties, repeated rows,
+    an empty table and further columns as its operator's docstring says: rows with a null text go in
+    the language stage, rows with a null doc_id are never compared with others but are judged by all
+    other stages, and an empty table gives no rows. What a stage stored and what it was given are
+    deleted once its result is written.
+    """
+    docs, given = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if given:
+            release(spark, given)
+        docs, given = spark.read.parquet(path), path
     return docs
