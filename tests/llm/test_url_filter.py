@@ -72,3 +72,27 @@ def test_writing_again_does_no_harm(tmp_path):
 def test_query(spark, sf_dir, duck):
     got = sorted(map(tuple, uf.query(spark, sf_dir).select("page_id", "url", "entry", "blocked").collect()))
     assert got == sorted(duck.execute(f"SELECT page_id, url, entry, blocked FROM ({uf.SQL})").fetchall())
+
+
+def test_a_very_long_url_takes_linear_time(spark):
+    deep = "http://site.org/" + "d/" * 200_000 + "e"
+    dotted = "http://" + "a." * 200_000 + "bad.example.com/"  # no host name is that long
+    docs = spark.createDataFrame([(1, deep), (2, dotted), (3, "http://site.org/d/d")], "page_id long, url string")
+    listed = spark.createDataFrame([("site.org/d/d",), ("bad.example.com",)], "entry string")
+    for mapped in (True, False):
+        got = {r.page_id: r.entry for r in uf.check(docs, listed, mapped).collect()}
+        assert got == {1: "site.org/d/d", 2: None, 3: "site.org/d/d"}
+
+
+def test_candidates_and_their_digests():
+    for url in URLS:
+        p = uf.Probes(url)
+        assert [uf.digest(t) for t in uf.candidates(url)] == p.digests
+        lengths = [len(t) for t in uf.candidates(url)]
+        assert lengths == sorted(set(lengths), reverse=True)
+
+
+def test_query_list_has_all_kinds(spark):
+    entries = uf.query_list(spark)
+    assert entries.count() == entries.distinct().count() > 800_000
+    assert entries.where("entry LIKE '%?%'").count() > 100_000 and entries.where("entry NOT LIKE '%/%'").count() > 200_000
