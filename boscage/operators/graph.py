@@ -52,19 +52,27 @@ def references_in(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     return _directly_in(nodes.where((F.col("flags").bitwiseAND(ROLE) == REFERENCE) & (F.col("semantic_name").isin("NAME_IDENTIFIER", CALL))), chosen)
 
 
-def reachable(nodes: DataFrame, chosen: DataFrame, steps: int = 10) -> DataFrame:
-    """(name, distance): functions reached from the chosen ones by calls, within a number of steps.
+def reachable(nodes: DataFrame, chosen: DataFrame, steps: int | None = None) -> DataFrame:
+    """(name, distance): functions reached from the chosen ones by calls, all or within a number of steps.
 
-    Works on distinct names of callers and callees, which are far fewer than nodes.
+    Works on distinct names of callers and callees, which are far fewer than nodes, and ends as no new name is reached.
     """
     functions = nodes.where(F.col("semantic_name") == FUNCTION)
     calls = nodes.where(F.col("semantic_name") == CALL).select("file_path", F.col("scope.function").alias("node_id"), F.col("name").alias("to"))
     edges = functions.select("file_path", "node_id", F.col("name").alias("from")).join(calls, ["file_path", "node_id"]).select("from", "to").distinct()
-    edges = edges.join(functions.select(F.col("name").alias("to")).distinct(), "to", "left_semi").cache()
-    seen = front = _names(chosen).withColumn("distance", F.lit(0))
-    for k in range(1, steps + 1):
-        front = front.join(edges, front["name"] == edges["from"]).select(F.col("to").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("distance", F.lit(k))
+    edges = edges.join(functions.select(F.col("name").alias("to")).distinct(), "to", "left_semi").persist()
+    seen = front = _names(chosen).withColumn("distance", F.lit(0)).persist()
+    kept, k = [edges, seen], 0
+    while steps is None or k < steps:
+        k += 1
+        front = front.join(edges, front["name"] == edges["from"]).select(F.col("to").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("distance", F.lit(k)).persist()
+        kept.append(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen
+    rows = [(r["name"], r["distance"]) for r in seen.collect()]  # names of functions, not nodes
+    for x in kept:
+        x.unpersist()
+    return nodes.sparkSession.createDataFrame(rows, "name string, distance int")
+
+

@@ -7,6 +7,7 @@ import builtins
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import nav
 from . import view
 
 _BUILT_IN = sorted(dir(builtins))
@@ -15,9 +16,11 @@ _BINDERS = ["for_statement", "for_in_clause", "as_pattern", "with_item", "except
 
 def isolate(nodes: DataFrame, chosen: DataFrame, sources: DataFrame) -> DataFrame:
     """One row for each chosen node: its text, and the free names that are parameters, imports (as statements) and built-ins."""
-    block = chosen.select("file_path", F.col("node_id").alias("of"), F.col("start_line").alias("b_start"), F.col("end_line").alias("b_end"))
     parent = nodes.select("file_path", F.col("node_id").alias("parent_id"), F.col("type").alias("parent_type"))
-    names = nodes.where("name IS NOT NULL AND name <> ''").join(block, "file_path").where("start_line >= b_start AND end_line <= b_end").join(parent, ["file_path", "parent_id"], "left")
+    named = nodes.where("name IS NOT NULL AND name <> ''")
+    within = nav.enclosing(chosen, named, innermost=False).select("file_path", F.col("node_id").alias("of"), F.col("of").alias("node_id"))
+    own = chosen.where("name IS NOT NULL AND name <> ''").select("file_path", F.col("node_id").alias("of"), "node_id")
+    names = named.join(within.unionByName(own), ["file_path", "node_id"]).join(parent, ["file_path", "parent_id"], "left")
     identifier = F.col("type") == "identifier"
     in_import = F.coalesce(F.col("parent_type").isin("import_statement", "import_from_statement"), F.lit(False))
     member = F.coalesce((F.col("parent_type") == "attribute") & (F.col("sibling_index") > 0), F.lit(False))

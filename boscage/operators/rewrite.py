@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import nav
 from ..functions.rewriting import Edit, splice
 from ..sources import python_code
 
@@ -52,14 +53,18 @@ def commit(planned: DataFrame) -> list[str]:
     if bad:
         raise RewriteError("; ".join(sorted(bad)))
     written = []
+    part = None
     try:
         for r in sorted(rows, key=lambda r: r.file_path):
             part = f"{r.file_path}.{os.getpid()}.part"
             with open(part, "w", encoding="utf-8", newline="") as f:
                 f.write(r.new_text)
-            written.append(r)
             os.replace(part, r.file_path)
+            part = None
+            written.append(r)
     except OSError:
+        if part and os.path.exists(part):
+            os.remove(part)
         for r in written:
             with open(r.file_path, "w", encoding="utf-8", newline="") as f:
                 f.write(r.old_text)
@@ -79,7 +84,6 @@ def diffs(planned: DataFrame) -> DataFrame:
 
 def anchored(chosen: DataFrame, anchors: DataFrame) -> DataFrame:
     """Chosen nodes with the lines of the first anchor below each, counted from the node's first; those without one are left out."""
-    c, a = chosen.alias("c"), anchors.select("file_path", F.col("node_id").alias("at"), F.col("start_line").alias("a_start"), F.col("end_line").alias("a_end")).alias("a")
-    pairs = c.join(a, (F.col("c.file_path") == F.col("a.file_path")) & (F.col("at") > F.col("c.node_id")) & (F.col("at") <= F.col("c.node_id") + F.col("c.descendant_count")))
-    first = pairs.groupBy(F.col("c.file_path").alias("file_path"), F.col("c.node_id").alias("node_id")).agg(F.min_by(F.struct("a_start", "a_end"), "at").alias("a"))
-    return chosen.join(first, ["file_path", "node_id"]).withColumns({"anchor_start": F.col("a.a_start") - F.col("start_line") + 1, "anchor_end": F.col("a.a_end") - F.col("start_line") + 1}).drop("a")
+    found = nav.first_below(chosen, anchors, "start_line", "end_line")
+    lines = {"anchor_start": F.col("_first.start_line") - F.col("start_line") + 1, "anchor_end": F.col("_first.end_line") - F.col("start_line") + 1}
+    return found.withColumns(lines).drop("_first")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -35,8 +35,9 @@ def statistics(texts: DataFrame) -> DataFrame:
 def score(posted: DataFrame, stats: DataFrame, asked: list[str]) -> DataFrame:
     """(id, score) of all texts with a term that was asked for. The filter on terms reaches the scan of the index."""
     hits = posted.where(F.col("term").isin(asked)) if asked else posted.limit(0)
-    df = F.count("*").over(Window.partitionBy("term"))
-    hits = hits.withColumn("df", df).crossJoin(F.broadcast(stats))  # stats is one row
+    # one row for each term that was asked for
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))
+    hits = hits.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return hits.groupBy("id").agg(F.round(F.sum(weight), 6).alias("score"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import nav
 
@@ -68,20 +71,30 @@ def signature(language: Column | None = None) -> Column:
     return F.when(F.col("semantic_name") == "DEFINITION_FUNCTION", F.coalesce(function, F.col("peek"))).otherwise(F.col("peek"))
 
 
-def texts(chosen: DataFrame, sources: DataFrame, lines: Column | None = None) -> DataFrame:
-    """The chosen rows with ``text``: their lines of (file_path, text). Only the lines asked for leave the join."""
-    split = F.split("_source", "\r\n|\n")
-    last = F.col("end_line") if lines is None else F.least(F.col("end_line"), F.col("start_line") + lines - 1)
-    text = F.array_join(F.slice(split, F.col("start_line"), F.greatest(F.lit(0), last - F.col("start_line") + 1)), "\n")
-    return chosen.join(sources.select("file_path", F.col("text").alias("_source")), "file_path").withColumn("text", text).drop("_source")
+def texts(chosen: DataFrame, sources: DataFrame, lines: int | None = None) -> DataFrame:
+    """The chosen rows with ``text``: their lines of (file_path, text), at most so many. A file is split once for all of its rows."""
+    schema = T.StructType([*(f for f in chosen.schema if f.name != "text"), T.StructField("text", T.StringType())])
+    chosen = chosen.select(*[f.name for f in schema][:-1])
+
+    def run(rows: pa.Table, files: pa.Table) -> pa.Table:
+        if not rows.num_rows or not files.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in arrow}, schema=arrow)
+        split = (files.column("text")[0].as_py() or "").replace("\r\n", "\n").split("\n")
+        out = []
+        for first, last in zip(rows.column("start_line").to_pylist(), rows.column("end_line").to_pylist()):
+            out.append("\n".join(split[first - 1 : last if lines is None else min(last, first + lines - 1)]))
+        return rows.append_column("text", pa.array(out, pa.string())).cast(arrow)
+
+    arrow = to_arrow_schema(schema)
+    return chosen.groupBy("file_path").cogroup(sources.select("file_path", "text").groupBy("file_path")).applyInArrow(run, schema)
 
 
 def outline(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Definitions directly in the body of each chosen node: two levels down, in order of lines."""
     inner = nodes.where(F.col("semantic_name").isin("DEFINITION_FUNCTION", "DEFINITION_CLASS") & (F.col("flags").bitwiseAND(6) == 6)).withColumn("signature", signature())
-    c, n = chosen.select("file_path", F.col("node_id").alias("of"), "depth", "descendant_count").alias("c"), inner.alias("n")
-    hit = (F.col("c.file_path") == F.col("n.file_path")) & (F.col("n.node_id") > F.col("of")) & (F.col("n.node_id") <= F.col("of") + F.col("c.descendant_count")) & (F.col("n.depth") == F.col("c.depth") + 2)
-    return c.join(n, hit).select(F.col("c.file_path").alias("file_path"), "of", F.col("n.node_id").alias("node_id"), F.col("n.name").alias("name"), F.col("n.start_line").alias("start_line"), "signature")
+    of = chosen.select("file_path", F.col("node_id").alias("of")).distinct()
+    body = nodes.select("file_path", F.col("node_id").alias("body"), F.col("parent_id").alias("of")).join(of, ["file_path", "of"])
+    return inner.withColumn("body", F.col("parent_id")).join(body, ["file_path", "body"]).select("file_path", "of", "node_id", "name", "start_line", "signature")
 
 
 def blocks(nodes: DataFrame, sources: DataFrame, rules: list[Rule], select) -> DataFrame:
@@ -99,7 +112,7 @@ def blocks(nodes: DataFrame, sources: DataFrame, rules: list[Rule], select) -> D
             around = nodes.where(F.col("semantic_name").isin("DEFINITION_FUNCTION", "DEFINITION_CLASS"))
             body = texts(nav.nearest_ancestors_of(around, chosen), sources)
         else:
-            body = texts(chosen, sources, F.lit(int(show)) if show.isdigit() else None)
+            body = texts(chosen, sources, int(show) if show.isdigit() else None)
         place = F.concat(F.lit("# "), "file_path", F.lit(":"), F.col("start_line"), F.lit("-"), F.col("end_line"))
         text = F.concat(place, F.lit("\n\n```"), F.coalesce("language", F.lit("")), F.lit("\n"), "text", F.lit("\n```"))
         part = body.select(F.lit(k).alias("rule"), "file_path", "node_id", "name", "type", "start_line", "end_line", F.lit(show).alias("show"), text.alias("markdown"))

@@ -23,19 +23,20 @@ def sections(files: DataFrame) -> DataFrame:
     found = found.withColumns({"level": F.length(F.regexp_extract(head, _HEADING, 1)), "title": F.regexp_extract(head, _HEADING, 2)})
     # the parent of a section is the last before it of a smaller level: the last at each level, and of these the latest
     order = file.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("level") == k, F.col("n"))).over(order) for k in range(1, 6)]
+    last = [F.max(F.when(F.col("level") == k, F.struct("n", "title"))).over(order) for k in range(1, 6)]
     found = found.withColumns({f"last{k}": c for k, c in enumerate(last, 1)})
-    parent = F.greatest(F.lit(-1), *[F.when(F.col("level") > k, F.coalesce(f"last{k}", F.lit(-1))).otherwise(-1) for k in range(1, 6)])
-    found = found.withColumn("parent", F.nullif(parent, F.lit(-1)))
-    titles = F.sort_array(F.collect_list(F.struct("n", "level", "title")).over(order))
-    # going back, a section is an ancestor if its level is under all levels after it
-    path = F.aggregate(F.reverse(titles), F.struct(F.col("level").alias("level"), F.array(F.col("title")).alias("titles")), lambda acc, t: F.when(t["level"] < acc["level"], F.struct(t["level"].alias("level"), F.concat(F.array(t["title"]), acc["titles"]).alias("titles"))).otherwise(acc))
+    # the last of a level is an ancestor if no section of a smaller level came after it
+    none = F.lit(-1)
+    at = [F.when(F.col("level") > k, F.coalesce(F.col(f"last{k}.n"), none)).otherwise(none) for k in range(1, 6)]
+    ancestors = [F.when((at[k] > none) & (at[k] > (F.greatest(none, none, *at[:k]))), F.col(f"last{k + 1}.title")) for k in range(5)]
+    found = found.withColumn("parent", F.nullif(F.greatest(none, *at), none))
+    titles = F.concat(F.filter(F.array(*ancestors), lambda t: t.isNotNull()), F.array("title"))
     ident = lambda n: F.concat_ws("#", "file_path", n.cast("string"))
     return like_schema(
         found.select(
             "file_path",
             ident(F.col("n")).alias("section_id"),
-            F.array_join(path["titles"], " > ").alias("section_path"),
+            F.array_join(titles, " > ").alias("section_path"),
             "level",
             "title",
             "content",

@@ -69,7 +69,7 @@ class _Builder:
     def definition(self, n, outer: Node) -> Node:
         function = not isinstance(n, ast.ClassDef)
         out = Node("function_definition" if function else "class_definition", "DEFINITION_FUNCTION" if function else "DEFINITION_CLASS", n.lineno, n.end_lineno, n.name, DEFINITION | SCOPED, self.peek(n.lineno, n.col_offset))
-        out.modifiers = ["async"] * isinstance(n, ast.AsyncFunctionDef) * 0 + ["@" + ast.unparse(d) for d in n.decorator_list]
+        out.modifiers = ["@" + ast.unparse(d) for d in n.decorator_list]
         for d in n.decorator_list:
             out.add(Node("decorator", "METADATA_ANNOTATION", d.lineno, d.end_lineno, ast.unparse(d).split("(")[0], REFERENCE, "@" + ast.unparse(d)).add(self.node(d, out)))
         out.add(self.identifier(n.name, n.lineno, 0))
@@ -146,14 +146,14 @@ class _Builder:
 def parse(text: str, path: str) -> Node:
     """The tree of a file. One that can't be parsed is a module with an ERROR node, whose peek says why."""
     last = max(1, len(text.splitlines()))
-    root = Node("module", "DEFINITION_MODULE", 1, last, path.rsplit("/", 1)[-1].removesuffix(".py"), DEFINITION | SCOPED, text.lstrip().split("\n", 1)[0][:200])
+    root = Node("module", "DEFINITION_MODULE", 1, last, path.rsplit("/", 1)[-1].removesuffix(".py"), DEFINITION | SCOPED, text.lstrip().split("\n", 1)[0])
     try:
         tree = ast.parse(text)
         builder = _Builder(text)
         found = [builder.node(n, root) for n in tree.body]
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         line = min(getattr(e, "lineno", None) or 1, last)
-        return root.add(Node("ERROR", "PARSER_CONSTRUCT", line, line, peek=str(e)[:200]))
+        return root.add(Node("ERROR", "PARSER_CONSTRUCT", line, line, peek=str(e)))
     comments = []
     try:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.vocabulary import NUMBERS
 from ..schema import NODE, SCOPED
 
-_COLUMNS = [f.name for f in NODE]
-
 
 class Node:
     __slots__ = ("type", "semantic", "flags", "name", "peek", "start", "end", "children", "parameters", "modifiers", "signature", "annotations")
@@ -51,13 +50,33 @@ def rows(root: Node, file_path: str, language: str) -> list[tuple]:
     return [tuple(r) for r in out]
 
 
+#: Nodes that a worker hands on together.
+BATCH = 20_000
+
+
 def parsed(files: DataFrame, parse: Callable[[str, str], Node], language: str) -> DataFrame:
     """Nodes of all files (file_path, text), parsed in workers, a file at a time; null texts have none."""
+    return parsed_by(files, lambda path: (parse, language))
+
+
+def parsed_by(files: DataFrame, parser_of: Callable[[str], tuple[Callable[[str, str], Node], str]]) -> DataFrame:
+    """The same with the parser and language that each path asks for."""
+    arrow = to_arrow_schema(NODE)
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, text in zip(frame["file_path"], frame["text"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for frame in batches:
+            for path, text in zip(frame.column("file_path").to_pylist(), frame.column("text").to_pylist()):
                 if text is not None:
-                    yield pd.DataFrame(rows(parse(text, path), path, language), columns=_COLUMNS).astype({"parent_id": "Int64", "semantic_type": "Int16"})
+                    parse, language = parser_of(path)
+                    found += rows(parse(text, path), path, language)
+                if len(found) >= BATCH:
+                    yield batch(found)
+                    found = []
+        if found:
+            yield batch(found)
 
-    return files.select("file_path", "text").mapInPandas(run, NODE)
+    return files.select("file_path", "text").mapInArrow(run, NODE)
