@@ -458,7 +458,9 @@ def group_pairs(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
     blobs = "part int, first binary, runs binary, second binary, times binary"
     met = docs.select("text").mapInArrow(index, "part int, grams binary, groups binary").groupBy("part").applyInArrow(meet, blobs + ", sizes binary, members binary")
     met = stored(met, "ngram-meetings")
-    homes = met.where("sizes IS NOT NULL").select("part", "sizes", "members").groupBy("part").applyInArrow(at_home, blobs)
+    # few bytes, but much to do: a given number of partitions is not put together
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    homes = met.where("sizes IS NOT NULL").select("part", "sizes", "members").repartition(wide, "part").groupBy("part").applyInArrow(at_home, blobs)
     return met.where("sizes IS NULL").drop("sizes", "members").unionByName(homes).groupBy("part").applyInArrow(once, "grp long, other long")
 
 
