@@ -34,7 +34,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, table
+from .common import id_text, slices, table, tidy
 
 #: Bytes from which a piece without a split is encoded in halves.
 LONG_PIECE = 256
@@ -158,11 +158,12 @@ def encode(docs: DataFrame, vocabulary: str | None = None, long_text: int = LONG
     def whole(batches):
         c = codec(vocabulary)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=1 << 20):
                 texts = part.column("text").to_pylist()
                 encoded = [None if t is None else c.encode(t) for t in texts]
                 same = [None if t is None else c.bytes_of(e) == t.encode() for t, e in zip(texts, encoded)]
                 yield _rows(part.column("doc_id").to_pylist(), encoded, same, out_schema)
+        tidy()
 
     def leaves(batches):
         c = codec(vocabulary)

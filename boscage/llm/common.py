@@ -117,6 +117,8 @@ def keep_rows(docs: DataFrame, decider: Callable[[], Callable[[pa.Array], list]]
         for batch in batches:
             for part in slices(batch, f"c{at}"):
                 yield part.filter(pa.array(decide(part.column(at).cast(pa.string())), pa.bool_()))
+        del decide
+        tidy()
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

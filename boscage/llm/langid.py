@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_batch, id_text, keep_rows, pick, slices, table, utf8_buffer
+from .common import as_batch, id_text, keep_rows, pick, slices, table, tidy, utf8_buffer
 
 GRAM, HASHES = 4, 3
 #: Labelled documents to train on, of each language.
@@ -149,6 +149,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 yield as_batch([part.column("doc_id"), *decide(model, part.column("text"))], schema)
+        tidy()
 
     return id_text(docs).mapInArrow(run, SCHEMA)
 

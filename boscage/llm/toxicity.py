@@ -44,7 +44,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_batch, id_text, keep_rows, pick, slices, table
+from .common import as_batch, id_text, keep_rows, pick, slices, table, tidy
 
 #: Bytes of a word's code, characters of a stem, and of a word at least.
 CODE, STEM, LEAST_CHARS = 8, 5, 3
@@ -65,7 +65,7 @@ LEAST_ROWS = 3
 #: Times the share of ordinary rows that the share of toxic rows with a word is, at least.
 RATIO = 4
 #: Codes that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _WORD = re.compile(rf"[^\W_]{{{LEAST_CHARS},}}")
 SCHEMA = "doc_id long, windows int, score double, toxic boolean"
 
@@ -235,6 +235,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 yield as_batch([part.column("doc_id"), *_verdicts(model, part.column("text"), scorer)], schema)
+        _codes.clear()
+        tidy()
 
     return id_text(docs).mapInArrow(run, SCHEMA)
 
@@ -243,6 +245,7 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that aren't toxic, all columns as they are; rows move nowhere."""
 
     def decider():
+        _codes.clear()
         scorer = Scorer(model) if model else None
         return lambda text: [not x for x in _verdicts(model, text, scorer)[2]]
 
