@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import catalog_code
 from .functions import text as tx
+from .functions.predicates import flag_check
 from .operators import corpus, graph, search
 from .plans.chain import Chain
 from .plans.selector import select
@@ -44,6 +46,18 @@ def _add(name: str, run: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
+def _changed(name: str, columns: dict[str, str], build: Callable[[Grove], Selection], where: str) -> None:
+    """A query of nodes of which some columns are other expressions (of Spark and of SQL alike), as the star schema's own say little."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = nodes_from_star(spark, sf_dir)
+        nodes = nodes.withColumns({c: F.expr(e).cast(nodes.schema[c].dataType) for c, e in columns.items()})
+        return build(Grove(spark, nodes=nodes)).df.select(_KEY)
+
+    replaced = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    _add(name, run, f"WITH {STAR_SQL} SELECT {_COLUMNS} FROM (SELECT * REPLACE ({replaced}) FROM nodes) n {where}")
+
+
 def _tree(name: str, build: Callable[[Grove], Selection], where: str) -> None:
     """A query of nodes; ``where`` is the SQL after FROM nodes n."""
     _add(name, lambda spark, sf_dir: build(_grove(spark, sf_dir)).df.select(_KEY), f"WITH {STAR_SQL} SELECT {_COLUMNS} FROM nodes n {where}")
@@ -73,7 +87,7 @@ for _name, _selector, _where in [
     ("find_attr_lines", "order[lines>=5]", "WHERE type = 'order' AND end_line - start_line + 1 >= 5"),
     ("find_list", "customer, line#R", "WHERE type = 'customer' OR (type = 'line' AND name = 'R')"),
     ("find_descendant", "customer[name=BUILDING] line#R", f"WHERE {_R.format('n')} AND EXISTS (SELECT 1 FROM nodes a WHERE {_BELOW} AND a.type = 'customer' AND a.name = 'BUILDING')"),
-    ("find_child", "order[name^='2-'] > line#A", "WHERE type = 'line' AND n.name = 'A' AND EXISTS (SELECT 1 FROM nodes p WHERE p.file_path = n.file_path AND p.node_id = n.parent_id AND p.type = 'order' AND starts_with(p.name, '2-'))"),
+    ("find_child", "order[name^='2-'] > line#A", "SEMI JOIN (SELECT file_path, node_id AS parent_id FROM nodes WHERE type = 'order' AND starts_with(name, '2-')) p USING (file_path, parent_id) WHERE n.type = 'line' AND n.name = 'A'"),
     ("find_adjacent", "line#R + line#A", f"WHERE type = 'line' AND n.name = 'A' AND EXISTS (SELECT 1 FROM nodes s WHERE {_SIBLING} AND s.sibling_index = n.sibling_index - 1 AND s.type = 'line' AND s.name = 'R')"),
     ("find_later_sibling", "line#R ~ line#A", f"WHERE type = 'line' AND n.name = 'A' AND EXISTS (SELECT 1 FROM nodes s WHERE {_SIBLING} AND s.sibling_index < n.sibling_index AND s.type = 'line' AND s.name = 'R')"),
     ("find_has", "order:has(line#R)", f"WHERE type = 'order' AND EXISTS (SELECT 1 FROM nodes d WHERE {_ABOVE} AND d.type = 'line' AND d.name = 'R')"),
@@ -89,12 +103,6 @@ for _name, _selector, _where in [
     ("pseudo_long", "order:long(4)", "WHERE type = 'order' AND end_line - start_line > 4"),
     ("pseudo_complex", ":complex(20)", "WHERE descendant_count > 20"),
     ("pseudo_contains", "line:contains('R F')", "WHERE type = 'line' AND contains(peek, 'R F')"),
-    ("pseudo_exported", "order:exported", "WHERE type = 'order' AND NOT starts_with(name, '_')"),
-    ("pseudo_private", ":private", "WHERE starts_with(name, '_')"),
-    ("pseudo_defines", ":defines", "WHERE flags & 6 = 6"),
-    ("pseudo_references", ":references", "WHERE flags & 6 = 2"),
-    ("pseudo_binds", ":binds", "WHERE flags & 4 <> 0"),
-    ("pseudo_scope", ":scope", "WHERE flags & 8 <> 0"),
     ("pseudo_decorated", ":decorated", "WHERE type = 'customer'"),
     ("element_parent", "line#R::parent", f"WHERE EXISTS (SELECT 1 FROM nodes d WHERE d.file_path = n.file_path AND d.parent_id = n.node_id AND d.type = 'line' AND d.name = 'R')"),
     ("element_next_sibling", "line#R::next-sibling", f"WHERE EXISTS (SELECT 1 FROM nodes s WHERE {_SIBLING} AND s.sibling_index = n.sibling_index - 1 AND s.type = 'line' AND s.name = 'R')"),
@@ -102,6 +110,22 @@ for _name, _selector, _where in [
 ]:
     _tree(_name, lambda g, s=_selector: g.find(s), _where)
 
+_NAMES = {"name": "CASE WHEN name = 'A' THEN '_A' WHEN name = 'N' THEN '__N__' ELSE name END"}
+_FLAGS = {"flags": "(node_id % 16)"}
+for _name, _columns, _selector, _where in [
+    ("pseudo_exported", _NAMES, "line:exported", "WHERE type = 'line' AND name = 'R'"),
+    ("pseudo_private", _NAMES, ":private", "WHERE name IN ('_A', '__N__')"),
+    ("pseudo_defines", _FLAGS, ":defines", "WHERE flags & 6 = 6"),
+    ("pseudo_references", _FLAGS, ":references", "WHERE flags & 6 = 2"),
+    ("pseudo_declaration", _FLAGS, ":declaration", "WHERE flags & 6 = 4"),
+    ("pseudo_binds", _FLAGS, ":binds", "WHERE flags & 4 <> 0"),
+    ("pseudo_scope", _FLAGS, ":scope", "WHERE flags & 8 <> 0"),
+    ("pseudo_syntax_only", _FLAGS, ":syntax-only", "WHERE flags & 1 <> 0"),
+]:
+    _changed(_name, _columns, lambda g, s=_selector: g.find(s), _where)
+_changed("flag_definition", _FLAGS, lambda g: Selection(g.trees, g.trees.nodes.where(flag_check("is_definition"))), "WHERE flags & 6 = 6")
+_changed("flag_binds_name", _FLAGS, lambda g: Selection(g.trees, g.trees.nodes.where(flag_check("binds_name"))), "WHERE flags & 4 <> 0")
+
 # steps of a selection
 for _name, _build, _where in [
     ("nav_find", lambda g: g.find("order[name^='1-']").find("line#R"), f"WHERE {_R.format('n')} AND EXISTS (SELECT 1 FROM nodes a WHERE {_BELOW} AND a.type = 'order' AND starts_with(a.name, '1-'))"),
@@ -139,8 +163,15 @@ _add("count_nodes", lambda spark, sf_dir: _grove(spark, sf_dir).find("line").df.
 _add("complexity_by_type", lambda spark, sf_dir: nodes_from_star(spark, sf_dir).groupBy("type").agg(F.sum("descendant_count").alias("total"), F.max("descendant_count").alias("most")), f"WITH {STAR_SQL} SELECT type, CAST(sum(descendant_count) AS BIGINT) AS total, max(descendant_count) AS most FROM nodes GROUP BY type")
 _add(
     "set_operations",
-    lambda spark, sf_dir: (lambda n: n.where("type = 'line'").select("file_path").intersect(n.where("name = 'BUILDING'").select("file_path")).unionByName(n.where("type = 'customer'").select("file_path").subtract(n.where("type = 'order'").select("file_path"))))(nodes_from_star(spark, sf_dir)),
-    f"WITH {STAR_SQL} (SELECT file_path FROM nodes WHERE type = 'line' INTERSECT SELECT file_path FROM nodes WHERE name = 'BUILDING') UNION ALL (SELECT file_path FROM nodes WHERE type = 'customer' EXCEPT SELECT file_path FROM nodes WHERE type = 'order')",
+    lambda spark, sf_dir: (lambda n: n.where("type = 'line'").select("file_path").intersect(n.where("name = 'BUILDING'").select("file_path")).unionByName(n.where("type = 'customer'").select("file_path").subtract(n.where("type = 'order' AND name LIKE '1-%'").select("file_path"))))(nodes_from_star(spark, sf_dir)),
+    f"WITH {STAR_SQL} (SELECT file_path FROM nodes WHERE type = 'line' INTERSECT SELECT file_path FROM nodes WHERE name = 'BUILDING') UNION ALL (SELECT file_path FROM nodes WHERE type = 'customer' EXCEPT SELECT file_path FROM nodes WHERE type = 'order' AND starts_with(name, '1-'))",
+)
+
+
+_add(
+    "union_distinct",
+    lambda spark, sf_dir: (lambda n: n.where("type = 'line'").select("name").union(n.where("type = 'order'").select("name")).distinct())(nodes_from_star(spark, sf_dir)),
+    f"WITH {STAR_SQL} SELECT name FROM nodes WHERE type = 'line' UNION SELECT name FROM nodes WHERE type = 'order'",
 )
 
 
@@ -207,8 +238,8 @@ OR contains(text, '{{') OR contains(text, '}}') OR contains(text, 'TODO') OR con
 )
 _add(
     "corpus_keep_first",
-    lambda spark, sf_dir: tx.keep_first(_table(spark, sf_dir, "conversations").where("role = 'user'"), ["text"], ["conv_id", "turn"]).select("conv_id", "turn", "text"),
-    "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS nth FROM conversations WHERE role = 'user') WHERE nth = 1",
+    lambda spark, sf_dir: tx.keep_first(_table(spark, sf_dir, "conversations"), ["text"], ["conv_id", "turn", "role"]).select("conv_id", "turn", "role", "text"),
+    "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn, role) AS nth FROM conversations) WHERE nth = 1",
 )
 _add(
     "corpus_split",
@@ -221,7 +252,7 @@ _add(
     "SELECT conv_id, CAST(count(*) AS INTEGER) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS chat FROM conversations GROUP BY conv_id",
 )
 _add("chat_messages", lambda spark, sf_dir: tx.chat_messages(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"))
-_add("corpus_generated", lambda spark, sf_dir: corpus.validate(corpus.generate(spark, 2000, 42)).select("position", "intent", "chain", "valid", "error"))
+_add("corpus_generated", lambda spark, sf_dir: corpus.cleaned(corpus.generate(spark, 50_000, 42)).select("position", "intent", "chain", "shape", "category", "strategy", "language", "valid", "error"))
 _add(
     "labelled_filter",
     lambda spark, sf_dir: _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0"), "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")),
@@ -232,7 +263,7 @@ _add(
 _DOM = ["file_path", "node_id", "parent_id", "depth", "type", "name", "descendant_count", "start_line"]
 _add("dom_nodes", lambda spark, sf_dir: html_dom.nodes_from_pages(spark, sf_dir).select(_DOM))
 _add("dom_find", lambda spark, sf_dir: select(html_dom.nodes_from_pages(spark, sf_dir), "article p text, nav a").select(_DOM))
-_add("dom_has", lambda spark, sf_dir: select(html_dom.nodes_from_pages(spark, sf_dir), "p:has(b):not(:has(br))").select(_DOM))
+_add("dom_has", lambda spark, sf_dir: select(html_dom.nodes_from_pages(spark, sf_dir), "body:has(ul a)").select(_DOM))
 
 # events
 _add(
@@ -254,7 +285,7 @@ JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation
     "sql_window_top": """SELECT o_custkey, o_orderkey, nth FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS nth FROM orders) t WHERE nth <= 3""",
     "sql_having": """SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12""",
     "sql_outer_join": """SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
-    "sql_anti_join": """SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""",
+    "sql_anti_join": """SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)""",
 }
 _USED = {n: [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem") if re.search(rf"\b(FROM|JOIN) {t}\b", q)] for n, q in _RAW.items()}
 
@@ -269,3 +300,6 @@ def _with_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 for _name in _RAW:
     _add(_name, lambda spark, sf_dir, n=_name: _with_tables(spark, sf_dir, n), _RAW[_name])
+
+# source code
+catalog_code.register(_add)

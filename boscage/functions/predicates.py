@@ -81,6 +81,7 @@ for _name, _build, *_takes in [
     ("nth-child", lambda n: F.col("sibling_index") == n - 1, int),
     ("empty", lambda: F.col("children_count") == 0),
     ("contains", lambda s: F.col("peek").contains(s), str),
+    ("matches", lambda pattern: F.col("peek").rlike(pattern), str),
     ("line", _line, int),
     ("lines", lambda a, b: (F.col("start_line") >= a) & (F.col("end_line") <= b), int, int),
     ("long", lambda n: F.col("end_line") - F.col("start_line") > n, int),

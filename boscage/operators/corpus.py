@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import garbled, keep_first
-from ..plans.chain import EDITS, KNOWN, TERMINALS
 
 STEPS = "array<struct<op:string,args:array<string>>>"
 
@@ -78,58 +77,66 @@ def steps(chain: str | Column) -> Column:
     return run(chain)
 
 
-_ENTRY = ["select", "source", "find"]
+def chat_record(records: DataFrame, system: str) -> DataFrame:
+    """Records as training messages in JSON."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return records.select(F.to_json(F.struct(F.array(message("system", F.lit(system)), message("user", F.col("intent")), message("assistant", F.col("chain"))).alias("messages"))).alias("record"))
 
 
-def fault(parsed: Column, least: int = 1) -> Column:
-    """Why steps are no valid chain, null if they are one."""
-    ops = F.transform(parsed, lambda s: s["op"])
-    unknown = F.filter(ops, lambda o: ~o.isin(sorted(KNOWN | set(_ENTRY))))
-    inner = F.slice(ops, 1, F.greatest(F.size(ops) - 1, F.lit(0)))
-    return (
-        F.when(parsed.isNull(), "can't be parsed")
-        .when(F.size(parsed) < least, "too few steps")
-        .when(~ops[0].isin(_ENTRY), "doesn't begin with a selection")
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown step "), unknown[0]))
-        .when(F.exists(inner, lambda o: o.isin(sorted(TERMINALS))), "goes on after its end")
-        .when(F.exists(inner, lambda o: o.isin(sorted(EDITS))) & F.element_at(ops, -1).isin(sorted(TERMINALS - {"count", "names", "text"})), "reads what it edits")
-    )
+def completion_record(records: DataFrame) -> DataFrame:
+    return records.select(F.to_json(F.struct(F.concat(F.col("intent"), F.lit("\n")).alias("prompt"), F.col("chain").alias("completion"))).alias("record"))
 
 
-def validate(records: DataFrame, least: int = 2) -> DataFrame:
-    """Records (position, intent, chain, ...) with ``valid`` and ``error``: first garbled intents and repeats go, then faults are found.
+def judged(records: DataFrame, least: int = 2, path: str | None = None) -> DataFrame:
+    """``records`` with ``error`` (null if the chain is valid), ``warnings`` and ``ends_in``, the type of what the chain gives.
 
-    An invalid first record of an intent still stands for it, as the order is
-    garbled, repeated, invalid.
+    The types of the steps are walked by the specification at ``path``; then selectors and steps are held against
+    each other. A null chain can't be parsed.
     """
-    first = keep_first(records, ["intent"], ["position"], garbled(F.col("intent")))
-    checked = first.withColumn("error", fault(steps("chain"), least))
-    return checked.withColumn("valid", F.col("error").isNull())
+    from .grammar import DEFAULT, check, load
 
+    spec = load(path or DEFAULT)
 
-def chat_record(records: DataFrame, system: str) -> DataFrame:
-    """Records as training messages in JSON."""
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return records.select(F.to_json(F.struct(F.array(message("system", F.lit(system)), message("user", F.col("intent")), message("assistant", F.col("chain"))).alias("messages"))).alias("record"))
+    @F.pandas_udf("struct<error:string,warnings:array<string>,ends_in:string>")
+    def run(chains: pd.Series) -> pd.DataFrame:
+        found = [check(c, spec, least) if isinstance(c, str) else ("can't be parsed", [], None) for c in chains]
+        return pd.DataFrame({"error": [f[0] for f in found], "warnings": [f[1] for f in found], "ends_in": [f[2] for f in found]})
 
+    return records.withColumn("_said", run("chain")).select("*", "_said.error", "_said.warnings", "_said.ends_in").drop("_said")
+
+
+def cleaned(records: DataFrame, least: int = 2, path: str | None = None) -> DataFrame:
+    """Records (position, intent, chain, ...) with ``valid``, ``error`` and ``warnings``; garbled and repeated intents are gone.
+
+    An invalid first record of an intent still stands for it, as the order is garbled, repeated, invalid.
+    """
+    first = keep_first(records, ["intent"], ["position"], garbled(F.col("intent")))
+    return judged(first, least, path).withColumn("valid", F.col("error").isNull())
+
+
+def read_lines(spark: SparkSession, path: str, schema: str = "intent string, chain string") -> tuple[DataFrame, DataFrame]:
+    """Records of a JSON-lines file and, apart, the lines that are none: (line)."""
+    read = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.text(path).where("trim(value) <> ''")
+    whole = raw.select(F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"), "value")
+    good = whole.where("r._bad IS NULL").select(*[f"r.{f.name}" for f in read.schema if f.name != "_bad"])
+    return good, whole.where("r._bad IS NOT NULL").select(F.col("value").alias("line"))
 
-def completion_record(records: DataFrame) -> DataFrame:
-    return records.select(F.to_json(F.struct(F.concat(F.col("intent"), F.lit("\n")).alias("prompt"), F.col("chain").alias("completion"))).alias("record"))
 
+def write_split(checked: DataFrame, valid: str, rejected: str) -> dict[str, int]:
+    """Valid and rejected records, each as JSON lines in a folder of its own; how many there are of each."""
+    kept = checked.persist()
+    try:
+        kept.where("valid").write.mode("overwrite").json(valid)
+        kept.where("NOT valid").write.mode("overwrite").json(rejected)
+        said = {r["valid"]: r["count"] for r in kept.groupBy("valid").count().collect()}
+        return {"valid": said.get(True, 0), "rejected": said.get(False, 0)}
+    finally:
+        kept.unpersist()
 
-_VERBS = {"count": "Count", "names": "List the names of", "text": "Show the source of", "materialize": "List"}
-_THINGS = {".fn": "functions", ".cls": "classes", ".call": "calls", ".import": "imports", ".loop": "loops", ".str": "strings"}
 
+def generate(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """Examples and ``n`` made-up records, the same for the same seed."""
+    from .sampling import generate as made
 
-def generate(spark, n: int, seed: int) -> DataFrame:
-    """``n`` records, the same for the same seed: a random verb, thing, filter and page, as words and as a chain."""
-    pick = lambda options, salt: F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64("position", F.lit(seed), F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
-    verbs, things = F.create_map(*[F.lit(x) for kv in _VERBS.items() for x in kv]), F.create_map(*[F.lit(x) for kv in _THINGS.items() for x in kv])
-    rows = spark.range(n).withColumnRenamed("id", "position")
-    rows = rows.select("position", pick(sorted(_VERBS), 1).alias("verb"), pick(sorted(_THINGS), 2).alias("thing"), pick(["", "test_", "get_", "_"], 3).alias("prefix"), pick(["", "5", "20"], 4).alias("top"))
-    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
-    named = F.when(F.col("prefix") != "", F.concat(F.lit(".filter(name__startswith="), quoted(F.col("prefix")), F.lit(")"))).otherwise("")
-    limited = F.when(F.col("top") != "", F.concat(F.lit(".limit("), "top", F.lit(")"))).otherwise("")
-    chain = F.concat(F.lit("select("), quoted(F.col("thing")), F.lit(")"), named, limited, F.lit("."), "verb", F.lit("()"))
-    intent = F.concat_ws(" ", verbs[F.col("verb")], F.when(F.col("top") != "", F.concat(F.lit("the first "), "top")), things[F.col("thing")], F.when(F.col("prefix") != "", F.concat(F.lit("named "), "prefix", F.lit("..."))))
-    return rows.select("position", intent.alias("intent"), chain.alias("chain"), F.lit("template").alias("strategy"))
+    return made(spark, n, seed)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import nav
 from ..functions.rewriting import Edit, splice
-from ..sources import python_code
+from ..sources.languages import BUILT_IN, Languages
 
 
 class RewriteError(ValueError):
@@ -22,7 +22,7 @@ class RewriteError(ValueError):
 _OUT = "file_path string, old_text string, new_text string, errors int, failure string"
 
 
-def plan(chosen: DataFrame, sources: DataFrame, make: Callable[[dict], Edit]) -> DataFrame:
+def plan(chosen: DataFrame, sources: DataFrame, make: Callable[[dict], Edit], languages: Languages = BUILT_IN) -> DataFrame:
     """One row for each file with a chosen node: old and new text, and how many syntax errors the edit adds.
 
     ``sources`` is (file_path, text). ``make`` gives each node's edit; it is sent to the workers.
@@ -39,13 +39,30 @@ def plan(chosen: DataFrame, sources: DataFrame, make: Callable[[dict], Edit]) ->
             new = splice(old, [(n, make(n)) for n in listed])
         except ValueError as e:
             failure = str(e)
-        if listed[0]["language"] == "python":
-            errors = max(0, python_code.errors(new) - python_code.errors(old))
+        if languages.reads(path) and new != old:
+            errors = max(0, languages.errors(new, path) - languages.errors(old, path))
         return pd.DataFrame([(path, old, new, errors, failure)], columns=["file_path", "old_text", "new_text", "errors", "failure"])
 
     return rows.groupBy("file_path").cogroup(sources.select("file_path", "text").groupBy("file_path")).applyInPandas(run, _OUT)
 
 
+def faults(planned: DataFrame) -> list[str]:
+    """What is wrong with the files of a plan."""
+    return sorted(f"{r.file_path}: {r.failure or 'syntax error'}" for r in planned.where("errors > 0 OR failure IS NOT NULL").select("file_path", "failure").collect())
+
+
+def applied(sources: DataFrame, planned: DataFrame) -> DataFrame:
+    """The sources as a plan leaves them; nothing is written."""
+    new = planned.where("failure IS NULL").select("file_path", "new_text")
+    return sources.select("file_path", "text").join(new, "file_path", "left").select("file_path", F.coalesce("new_text", "text").alias("text"))
+
+
+def between(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The plan that leads from some sources to others."""
+    both = before.select("file_path", F.col("text").alias("old_text")).join(after.select("file_path", F.col("text").alias("new_text")), "file_path")
+    return both.select("file_path", "old_text", "new_text", F.lit(0).alias("errors"), F.lit(None).cast("string").alias("failure"))
+
+
 def commit(planned: DataFrame) -> list[str]:
     """Write the files of a plan, which must be visible to the driver. Nothing is written if any file would break."""
     rows = planned.where("new_text <> old_text OR errors > 0 OR failure IS NOT NULL").collect()

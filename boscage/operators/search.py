@@ -8,7 +8,9 @@ mean length.
 
 from __future__ import annotations
 
+import functools
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,20 @@ def search(texts: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
+KINDS = {"DEFINITION_FUNCTION": "function", "DEFINITION_CLASS": "class", "DEFINITION_MODULE": "module", "EXTERNAL_IMPORT": "import", "METADATA_COMMENT": "comment"}
+
+
+def content(definitions: DataFrame | None, sections: DataFrame | None) -> DataFrame:
+    """What is searched: (id, text, file_path, ordinal, extractor, kind) of code nodes with their ``text`` and of sections."""
+    parts = []
+    if definitions is not None:
+        kind = F.coalesce(*[F.when(F.col("semantic_name") == k, F.lit(v)) for k, v in KINDS.items()], F.lower("semantic_name"))
+        parts.append(definitions.select(F.concat_ws("#", "file_path", F.col("node_id").cast("string")).alias("id"), "text", "file_path", F.col("node_id").alias("ordinal"), F.lit("code").alias("extractor"), kind.alias("kind")))
+    if sections is not None:
+        parts.append(sections.select(F.col("section_id").alias("id"), F.col("content").alias("text"), "file_path", F.col("start_line").cast("long").alias("ordinal"), F.lit("docs").alias("extractor"), F.lit("section").alias("kind")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 class Collection:
     """A named collection of (id, text, metadata), indexed as Parquet in a folder that executors share."""
 
@@ -67,20 +83,43 @@ class Collection:
         self.spark, self.path = spark, os.path.join(folder, name)
 
     def create(self, rows: DataFrame) -> None:
-        """Replace the collection. The index is bucketed by nothing: a search reads the row groups that hold its terms."""
+        """Replace the collection: a new version is written beside the old one and then named, so a reader never sees a mix.
+
+        Postings are in order of terms, so a search reads the row groups that hold its terms.
+        """
         if "metadata" not in rows.columns:
             rows = rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
         rows = rows.select("id", "text", F.col("metadata").cast("map<string,string>"))
-        rows.write.mode("overwrite").parquet(self.path + "/texts")
-        kept = self.spark.read.parquet(self.path + "/texts")
-        postings(kept).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self.path + "/postings")
-        statistics(kept).write.mode("overwrite").parquet(self.path + "/statistics")
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        rows.write.parquet(path + "/texts")
+        kept = self.spark.read.parquet(path + "/texts")
+        postings(kept).repartition("term").sortWithinPartitions("term").write.parquet(path + "/postings")
+        statistics(kept).write.parquet(path + "/statistics")
+        old = self._version()
+        self.spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(self.path + "/current")
+        if old:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _version(self) -> str | None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/current")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return self.spark.read.parquet(self.path + "/current").first()[0]
 
     def _read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{part}")
+        version = self._version()
+        if version is None:
+            raise ValueError(f"{self.path} has not been created")
+        return self.spark.read.parquet(f"{version}/{part}")
 
-    def search(self, query: str, limit: int | None = 10) -> DataFrame:
+    def search(self, query: str, limit: int | None = 10, where: str | Column | None = None) -> DataFrame:
+        """(id, text, metadata, score), best first; ``where`` is a condition on the metadata."""
         found = score(self._read("postings"), self._read("statistics"), asked_terms(query))
+        texts = self._read("texts")
+        if where is not None:
+            texts = texts.where(where)
+            found = found.join(texts.select("id"), "id", "left_semi")
         if limit is not None:
             found = found.orderBy(F.desc("score"), "id").limit(limit)
-        return found.join(self._read("texts"), "id").select("id", "text", "metadata", "score").orderBy(F.desc("score"), "id")
+        return found.join(texts, "id").select("id", "text", "metadata", "score").orderBy(F.desc("score"), "id")

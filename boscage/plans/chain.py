@@ -9,9 +9,10 @@ import os
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import rewrite
+from ..plugins import resolve
 from ..selection import Grove, Selection
 
 QUERIES = {"find", "filter", "filter_sql", "not_", "unique", "containing", "at_line", "at_lines", "search"}
@@ -51,6 +52,11 @@ def _number(text: Any) -> Any:
     return text
 
 
+def _brought(plugins) -> set[str]:
+    """Steps that plugins bring."""
+    return {name for cls in resolve(list(plugins)) for name in cls.methods}
+
+
 _NUMBERS = {"limit", "offset", "page", "at_line", "at_lines"}
 
 
@@ -76,10 +82,10 @@ class Chain:
     def from_dict(cls, said: dict) -> Chain:
         if not isinstance(said, dict) or "source" not in said:
             raise ChainError("a chain needs a source")
-        source = said["source"]
+        source, more = said["source"], _brought(said.get("plugins", ()))
         steps = []
         for s in said.get("steps", ()):
-            if s.get("op") not in KNOWN:
+            if s.get("op") not in KNOWN | more:
                 raise ChainError(f"unknown step {s.get('op')!r}")
             steps.append(ChainStep(s["op"], tuple(s.get("args", ())), dict(s.get("kwargs", {}))))
         return cls((source,) if isinstance(source, str) else tuple(source), tuple(steps), tuple(said.get("plugins", ())), said.get("repo"), bool(said.get("dry_run")), bool(said.get("diff")))
@@ -108,7 +114,8 @@ class Chain:
             else:
                 raise ChainError(f"unknown option --{name}")
         source, steps = [], []
-        while words and words[0] not in KNOWN and words[0] != "--":
+        known = KNOWN | _brought(flags.get("plugin", ()))
+        while words and words[0] not in known and words[0] != "--":
             source.append(words.pop(0))
         if not source:
             raise ChainError("a source is missing")
@@ -117,10 +124,10 @@ class Chain:
             if op == "--":
                 steps.append(ChainStep("reset"))
                 continue
-            if op not in KNOWN:
+            if op not in known:
                 raise ChainError(f"unknown step {op!r}")
             args, kwargs = [], {}
-            while words and words[0] not in KNOWN and words[0] != "--":
+            while words and words[0] not in known and words[0] != "--":
                 word = words.pop(0)
                 if word.startswith("--"):
                     name, _, value = word[2:].partition("=")
@@ -183,13 +190,14 @@ class Chain:
     # --- evaluation
 
     def _open(self, spark: SparkSession, grove: Grove | None) -> Grove:
-        return grove or Grove(spark, list(self.source), repo=self.repo)
+        return grove or Grove(spark, list(self.source), repo=self.repo, plugins=self.plugins)
 
     def selection(self, spark: SparkSession, grove: Grove | None = None) -> Selection:
         """What the chain selects before its terminal and edits; lazy."""
         return self._fold(self._open(spark, grove), edits=None)[0]
 
-    def _fold(self, grove: Grove, edits: list | None):
+    def _fold(self, grove: Grove, edits: _Edits | None):
+        """What is selected at the end, and the terminal. Edits are only made to ``edits``, in memory."""
         stack: list[Selection] = []
         terminal = None
         for s in self.steps:
@@ -209,19 +217,21 @@ class Chain:
             elif s.op in TERMINALS:
                 terminal = (s.op, args)
             elif s.op in EDITS:
-                if edits is None:
-                    continue
-                edits.append((s.op, args, stack[-1]))
-                stack[-1] = self._do(grove, stack[-1], s.op, args)
-            else:
+                if edits is not None:
+                    grove = edits.make(grove, s.op, args, stack[-1])
+                    stack = [_again(grove, x) for x in stack]
+            elif s.op in KNOWN:
                 stack[-1] = getattr(stack[-1], s.op)(*args, **kwargs)
+            else:  # of a plugin
+                found = getattr(stack[-1], s.op)(*args, **kwargs)
+                if isinstance(found, Selection):
+                    stack[-1] = found
+                else:
+                    terminal = (s.op, found)
         if not stack:
             raise ChainError("the chain selects nothing")
         return stack[-1], terminal
 
-    def _do(self, grove: Grove, chosen: Selection, op: str, args: tuple) -> Selection:
-        return getattr(chosen, op)(*args)
-
     def _argument(self, text: Any) -> Any:
         """``@path`` is a file's content, ``@@`` a plain at sign."""
         if isinstance(text, str) and text.startswith("@@"):
@@ -242,7 +252,7 @@ class Chain:
             return self._edited(grove)
         chosen, terminal = self._fold(grove, None)
         op, args = terminal or ("materialize", ())
-        data = getattr(chosen, op)(*args)
+        data = getattr(chosen, op)(*args) if op in KNOWN else [r.asDict(True) for r in args.collect()] if isinstance(args, DataFrame) else args
         out = {"chain": self.to_dict(), "type": op, "data": json_safe(data)}
         if page := self.page_of():
             offset, limit = page
@@ -255,29 +265,52 @@ class Chain:
                 out["page"] |= {"total": total, "has_more": offset + limit < total}
         return out
 
+    def edits(self, grove: Grove) -> _Edits:
+        """All edits of the chain, made in memory, each to what those before left."""
+        edits = _Edits(grove.trees.sources.select("file_path", "text"))
+        self._fold(grove, edits)
+        return edits
+
     def _edited(self, grove: Grove) -> dict:
-        """Edits are done and, for a dry run or a diff, undone again, whatever happens."""
-        undo: dict[str, str] = {}
-        if self.dry_run or self.diff:
-            undo = {r.file_path: r.text for r in grove.trees.sources.select("file_path", "text").collect()}
-        done: list = []
+        """All edits are made in memory, each to what those before left, and then written together or, for a dry run or diff, shown."""
+        edits = self.edits(grove)
+        planned = edits.planned().persist()
         try:
-            self._fold(grove, done)
-            data: Any = {"edits": [op for op, _, _ in done]}
-            if undo:
-                import difflib
-
-                texts = []
-                for path in sorted(undo):
-                    with open(path, encoding="utf-8", newline="") as f:
-                        new = f.read()
-                    texts.append("".join(difflib.unified_diff(undo[path].splitlines(True), new.splitlines(True), "a/" + path.lstrip("/"), "b/" + path.lstrip("/"))))
-                data = "".join(texts)
+            if self.dry_run or self.diff:
+                data: Any = "".join(r["diff"] for r in rewrite.diffs(planned).orderBy("file_path").collect())
+                return {"chain": self.to_dict(), "type": "diff", "data": data}
+            rewrite.commit(planned)
+            return {"chain": self.to_dict(), "type": "edit", "data": {"edits": edits.ops}}
         finally:
-            for path, text in undo.items():
-                with open(path, "w", encoding="utf-8", newline="") as f:
-                    f.write(text)
-        return {"chain": self.to_dict(), "type": "diff" if undo else "edit", "data": data}
+            planned.unpersist()
+
+
+class _Edits:
+    """Edits of some sources, made one after another."""
+
+    def __init__(self, sources: DataFrame):
+        self.before = self.now = sources
+        self.ops: list[str] = []
+
+    def make(self, grove: Grove, op: str, args: tuple, chosen: Selection) -> Grove:
+        """The trees after an edit."""
+        planned = chosen.planned(op, *args).persist()
+        if bad := rewrite.faults(planned):
+            raise rewrite.RewriteError("; ".join(bad))
+        self.now = rewrite.applied(self.now, planned)
+        self.ops.append(op)
+        return grove.over(self.now)
+
+    def planned(self) -> DataFrame:
+        return rewrite.between(self.before, self.now)
+
+
+def _again(grove: Grove, chosen: Selection) -> Selection:
+    """A selection made anew over other trees, by its steps."""
+    out = None
+    for s in chosen.steps:
+        out = getattr(out or grove, s.op)(*s.args, **s.kwargs)
+    return out
 
 
 def chain_of(chosen: Selection, source: tuple[str, ...] = ()) -> Chain:

@@ -114,6 +114,29 @@ def resolve_alias(token: str) -> str:
     return "." + SHORT.get(token[1:end], token[1:end]) + token[end:]
 
 
+def resolve_aliases(selector: str) -> str:
+    """A whole selector with the classes in their taxonomy form; what stands in quotes stays."""
+    out, at, quote = [], 0, ""
+    while at < len(selector):
+        c = selector[at]
+        if quote:
+            step = 2 if c == "\\" else 1
+            quote = "" if c == quote else quote
+            out.append(selector[at : at + step])
+            at += step
+        elif c == "." and (at + 1 < len(selector)) and (selector[at + 1].isalpha() or selector[at + 1] == "_"):
+            end = at + 1
+            while end < len(selector) and (selector[end].isalnum() or selector[end] in "_-"):
+                end += 1
+            out.append(resolve_alias(selector[at:end]))
+            at = end
+        else:
+            quote = c if c in "'\"" else ""
+            out.append(c)
+            at += 1
+    return "".join(out)
+
+
 def semantic_name(cls: str) -> str:
     """The semantic name that a class stands for; one that ends in ``_`` is a category."""
     name = SHORT.get(cls, cls)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import NODE
-from . import files, python_code
+from . import files
+from .languages import BUILT_IN, Languages
 
 
 class TreeCache:
@@ -21,8 +23,8 @@ class TreeCache:
     a reader never sees a table half written.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, languages: Languages = BUILT_IN):
+        self.spark, self.folder, self.languages = spark, folder, languages
 
     @staticmethod
     def key(pattern: str) -> str:
@@ -40,7 +42,8 @@ class TreeCache:
         return table, self.spark.read.parquet(table + ".files")
 
     def get(self, pattern: str, root: str | None = None) -> DataFrame:
-        now = files.read(self.spark, files.listed(pattern, root))
+        os.makedirs(self.folder, exist_ok=True)
+        now = files.read(self.spark, [p for p in files.listed(pattern, root) if self.languages.reads(p)])
         known = self._read_index(pattern)
         stamps = now.select("file_path", "modified")
         if known:
@@ -50,9 +53,9 @@ class TreeCache:
                 return self.spark.read.schema(NODE).parquet(old_table)
             same = old.join(stamps, ["file_path", "modified"], "left_semi").select("file_path")
             kept = self.spark.read.schema(NODE).parquet(old_table).join(same, "file_path", "left_semi")
-            nodes = kept.unionByName(python_code.nodes_from_files(now.join(same, "file_path", "left_anti")))
+            nodes = kept.unionByName(self.languages.nodes(now.join(same, "file_path", "left_anti")))
         else:
-            nodes = python_code.nodes_from_files(now)
+            nodes = self.languages.nodes(now)
         table = os.path.join(self.folder, f"{self.key(pattern)}-{time.time_ns()}")
         nodes.write.parquet(table)
         stamps.write.parquet(table + ".files")
@@ -60,8 +63,16 @@ class TreeCache:
         with open(part, "w") as f:
             f.write(table)
         os.replace(part, self._index(pattern))
+        self._clean(pattern, {table} | ({known[0]} if known else set()))
         return self.spark.read.schema(NODE).parquet(table)
 
+    def _clean(self, pattern: str, kept: set[str]) -> None:
+        """Versions before the last are removed; that one stays for readers that have begun."""
+        for name in os.listdir(self.folder):
+            path = os.path.join(self.folder, name)
+            if name.startswith(self.key(pattern) + "-") and path.removesuffix(".files") not in kept:
+                shutil.rmtree(path, ignore_errors=True)
+
     def listing(self, pattern: str) -> DataFrame:
         """(file_path, modified, nodes) of a pattern's table."""
         table, stamps = self._read_index(pattern)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,24 @@ def log(spark: SparkSession, repo: str, path: str) -> DataFrame:
     return spark.createDataFrame([r for r in rows if len(r) == 5], COMMIT)
 
 
+def file_commits(spark: SparkSession, repo: str, paths: list[str]) -> DataFrame:
+    """(file_path, commit...) for all given files, by one reading of the log with the files that each commit touched; renames are followed."""
+    said = _git(repo, "log", "-M", "--name-status", f"--format={_RECORD}%H{_FIELD}%an{_FIELD}%ae{_FIELD}%aI{_FIELD}%s") or ""
+    top = (_git(repo, "rev-parse", "--show-toplevel") or repo).strip()
+    names = {os.path.relpath(os.path.realpath(os.path.join(repo, p) if not os.path.isabs(p) else p), os.path.realpath(top)): p for p in paths}
+    rows = []
+    for record in said.split(_RECORD)[1:]:  # newest first
+        head, *touched = record.strip("\n").split("\n")
+        commit = tuple(head.split(_FIELD))
+        for line in filter(None, touched):
+            status, *at = line.split("\t")
+            if at and at[-1] in names and len(commit) == 5:
+                rows.append((names[at[-1]], *commit))
+                if status.startswith("R"):  # before, the file had the other name
+                    names.setdefault(at[0], names[at[-1]])
+    return spark.createDataFrame(rows, "file_path string, " + COMMIT)
+
+
 def text_at(repo: str, path: str, revision: str) -> str | None:
     """A file's text at a revision, None if it wasn't there."""
     return _git(repo, "show", f"{revision}:{path}")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import SECTION, like_schema
+from ..schema import DEFINITION, SCOPED, SECTION, like_schema
+from .trees import Node
 
 _HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
 
@@ -46,3 +49,41 @@ def sections(files: DataFrame) -> DataFrame:
         ),
         SECTION,
     )
+
+
+def parse(text: str, path: str) -> Node:
+    """A file as a tree: sections nest by their level, paragraphs, lists and code are their leaves."""
+    lines = re.split(r"\r\n|\n|\r", text)
+    root = Node("document", "DEFINITION_MODULE", 1, max(1, len(lines) - (lines[-1] == "" and len(lines) > 1)), path.rsplit("/", 1)[-1].rsplit(".", 1)[0], DEFINITION | SCOPED, lines[0])
+    open_sections, levels = [root], [0]
+    block: Node | None = None
+    fence = False
+    for n, line in enumerate(lines, 1):
+        mark = bool(re.match(r"\s*(```|~~~)", line))
+        head = None if fence or mark else re.match(_HEADING, line)
+        if head:
+            level = len(head[1])
+            while levels[-1] >= level:
+                open_sections.pop().end = n - 1
+                levels.pop()
+            section = Node("section", "ORGANIZATION_SECTION", n, root.end, head[2], DEFINITION | SCOPED, line)
+            open_sections[-1].add(section)
+            open_sections.append(section)
+            levels.append(level)
+            block = None
+        elif mark:
+            if not fence:
+                block = Node("code_block", "LITERAL_STRING", n, n, line.strip("`~ ") or None, 0, line)
+                open_sections[-1].add(block)
+            block.end = n
+            fence = not fence
+            block = block if fence else None
+        elif line.strip() or fence:
+            if block is None:
+                kind = "list" if re.match(r"\s*([-*+]|\d+[.)])\s", line) else "paragraph"
+                block = Node(kind, "ORGANIZATION_LIST" if kind == "list" else "LITERAL_STRING", n, n, None, 0, line.strip())
+                open_sections[-1].add(block)
+            block.end = n
+        else:
+            block = None
+    return root

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import python_code
+from ..sources.languages import BUILT_IN
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -24,7 +24,7 @@ def keep_trees(files: DataFrame, table: str, checkpoint: str):
     def one(batch: DataFrame, number: int) -> None:
         last = Window.partitionBy("file_path").orderBy(F.desc("modified"))
         newest = batch.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth")
-        python_code.nodes_from_files(newest).write.mode("overwrite").parquet(os.path.join(table, f"batch={number}"))
+        BUILT_IN.nodes(newest).write.mode("overwrite").parquet(os.path.join(table, f"batch={number}"))
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
