@@ -41,6 +41,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,6 @@ def _tag(head: str) -> tuple | None:
     return name, end, not (end or name in _VOID or head.endswith("/")), None if end else _ENDS.get(name), "\n" if name in _BLOCK else "", _hash(("</" if end else "<") + name)
 
 
-_hash_of = _Known(_hash)
 _tag_of = _Known(_tag)
 _path_of = _Known(lambda x: _hash(f"{x[0]}/{x[1]}"))
 _place, _before, _self = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -127,16 +127,24 @@ def _whole_tag(part: str, parts: list[str], at: int) -> tuple[str, int]:
         part, at = "<".join([part, *parts[at : to + 1]]), to + 1
 
 
+def _word_hashes(words: np.ndarray) -> np.ndarray:
+    """A keyed hash of each word, the same in every worker."""
+    try:
+        return hash_array(words, categorize=False)
+    except UnicodeEncodeError:  # half a pair of surrogates
+        return hash_array(np.array([w.encode("utf-16", "surrogatepass").decode("latin-1") for w in words], object), categorize=False)
+
+
 def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
     """The tokens of many pages: their keys, the page's own first, where each page begins, and their texts.
 
     A text is empty for a tag, and a line end for one that ends a line.
     """
     texts: list[str] = []
-    own: list[int] = []  # hash of the token by itself
+    own: list[int] = []  # hashes of the tags by themselves
     runs: list[int] = []  # of each run of tokens: path, number, 0 for tags
     offsets = [0]
-    hash_of, tag_of, path_of = _hash_of.__getitem__, _tag_of.__getitem__, _path_of.__getitem__
+    tag_of, path_of = _tag_of.__getitem__, _path_of.__getitem__
     for page in pages:
         texts.append("")
         own.append(0)
@@ -195,12 +203,13 @@ def tokens_of(pages: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
                 words = (html.unescape(text) if "&" in text else text).split()
                 if words:
                     texts += words
-                    own.extend(map(hash_of, words))
                     runs += (paths[-1], len(words), 1)
         offsets.append(len(texts))
     path, count, kind = np.array(runs, np.int64).reshape(-1, 3).T
-    itself = np.array(own, np.uint64)
     tag = np.repeat(kind == 0, count)
+    itself = np.empty(len(texts), np.uint64)
+    itself[tag] = own
+    itself[~tag] = _word_hashes(np.array(texts, object)[~tag]) >> np.uint64(1)
     before = np.zeros(len(itself), np.uint64)
     before[1:] = itself[:-1]
     before[tag] = 0

@@ -11,7 +11,7 @@ from .. import nav
 from . import view
 
 _BUILT_IN = sorted(dir(builtins))
-_BINDERS = ["for_statement", "for_in_clause", "as_pattern", "with_item", "except_clause", "named_expression", "global_statement", "nonlocal_statement", "parameters"]
+_DECLARED = ["global_statement", "nonlocal_statement"]
 
 
 def isolate(nodes: DataFrame, chosen: DataFrame, sources: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def isolate(nodes: DataFrame, chosen: DataFrame, sources: DataFrame) -> DataFram
     in_import = F.coalesce(F.col("parent_type").isin("import_statement", "import_from_statement"), F.lit(False))
     member = F.coalesce((F.col("parent_type") == "attribute") & (F.col("sibling_index") > 0), F.lit(False))
     reads = names.where(identifier & ~in_import & ~member & (F.col("flags").bitwiseAND(6) == 2)).select("file_path", "of", "name").distinct()
-    defined = (F.col("flags").bitwiseAND(6) == 6) | (identifier & F.coalesce(F.col("parent_type").isin(_BINDERS), F.lit(False)))
+    defined = (F.col("flags").bitwiseAND(6) == 6) | (identifier & F.coalesce(F.col("parent_type").isin(_DECLARED), F.lit(False)))
     writes = names.where(defined & ~in_import).select("file_path", "of", "name").distinct()
     free = reads.join(writes, ["file_path", "of", "name"], "left_anti")
     imported = nodes.where(identifier & (F.col("flags").bitwiseAND(6) == 6)).select("file_path", "name", F.col("parent_id").alias("node_id"))
