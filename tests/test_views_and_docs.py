@@ -143,7 +143,8 @@ def test_steps(grove):
     fns = grove.find(".fn")
     assert fns.filter() is fns and fns.filter(":exported", ":has(with_statement)").names() == ["put"] and fns.filter_sql("name LIKE 'g%'").names() == ["get"] and fns.not_("#put").names() == ["get", "main"]
     assert fns.at_line(12).names() == ["put"] and fns.at_lines(13, 15).names() == ["get", "put"] and fns.containing("json.dumps").names() == ["put"]
-    assert fns.parent().names() == ["store"] and fns.children().count() > 6 and grove.find("#get").siblings().names() == ["put", "size"] and grove.find(".fn#put").next().names() == ["get"] and grove.find(".fn#get").prev().names() == ["put"]
+    assert fns.parent().names() == ["store"] and fns.children().count() > 6 and grove.find(".fn#get").siblings().names() == ["put", "size"] and grove.find(".fn#put").next().names() == ["get"] and grove.find(".fn#get").prev().names() == ["put"]
+    assert {"Store", "put", "size"} <= set(grove.find("#get").siblings().names())  # the call in main has this name too
     assert grove.find(".call#dumps").ancestor(".cls").names() == ["Store"] and grove.find(".cls").find(".fn").names() == ["get", "put"] and fns.page(1, 2).names() == ["main"]
     assert grove.find(".fn#get").callers().names() == ["main"] and "helper" in grove.find(".fn#main").callees().names() and grove.find(".cls").references().count() == 2
     assert "path" in grove.find(".fn#put").defs().names() and grove.find(".fn#put").defs("path").count() >= 1 and "key" in grove.find(".fn#put").refs().names()
