@@ -10,16 +10,21 @@ occur in many documents last, so few sets meet that aren't alike.
 1. Count the documents of every n-gram; the most frequent make the order. The
    order decides how fast the join is, never what it returns.
 2. Documents with the same prefix and size are one group, which is indexed
-   once, under each n-gram of its prefix. Groups that meet there are near enough in
+   once, under each n-gram of its prefix. A sample of ``SAMPLED`` rows shows the leaders
+   of large clusters of near copies; what holds half of a leader's sketch is one group for
+   each class of sizes, indexed under the n-grams of all its prefixes. So the thousands of a
+   cluster don't meet one another under each n-gram. Leaders, too, decide only how fast
+   the join is. Groups that meet there are near enough in
    size or passed over, and their meetings are counted: sets of which the first
    has its last prefix n-gram earlier share only what their prefixes share and
    what lies behind that one's prefix, so alike ones meet often. Groups
    that meet often enough for their sizes are candidate pairs.
-3. Candidate groups expand to their distinct sets, and every pair of sets is
+3. Candidate groups of up to ``CROWD`` sets expand to these, and every pair of sets is
    verified: first by bitmaps, each n-gram of a set flipping one bit of two or
    more for each n-gram, as sets differ in no fewer n-grams than their bitmaps in
-   bits; then on the whole sets. Pairs of sets of one group are never rows: the sets
-   of a group meet in tiles of ``BLOCK`` by ``BLOCK``, each compared by one task.
+   bits; then on the whole sets. Pairs of sets of one group, or of a larger group
+   and its partners, are never rows: they meet in tiles of ``BLOCK`` by ``BLOCK``, in each of
+   which one task compares all whole sets at once.
 
 ``classes`` gives one row for each document: its class (the smallest doc_id of the
 documents that are alike to it over any number of steps), how many other documents have an
@@ -68,6 +73,10 @@ LIST, PLACE_PAIRS = 1024, 20_000
 SLACK = 3
 #: Sets of one cluster of candidates that are verified together, on each side.
 BLOCK = 256
+#: Sets of a group up to which candidate pairs with it are rows.
+CROWD = 32
+#: Rows, about, in which leaders are looked for; distinct sets there that one must be with those around it, most leaders, and n-grams of a sketch.
+SAMPLED, AROUND, LEADERS, SKETCH = 8192, 6, 256, 64
 SCHEMA = "doc_id long, class_id long, copies long, links long"
 
 _K = 0x9E3779B97F4A7C15
@@ -146,6 +155,77 @@ class Order:
         return np.where(self.keys[at] == short, self.rank[at], np.uint32(0))
 
 
+class Leaders:
+    """Sketches (the least n-grams) of sets in the midst of many alike ones. Any leaders give the same result."""
+
+    def __init__(self, sketches: list[np.ndarray], sizes: list[int]):
+        self.lengths, self.sizes = np.array([len(x) for x in sketches], np.int64), np.array(sizes, np.int64)
+        flat = np.concatenate([*sketches, np.zeros(0, np.uint64)])
+        by = np.argsort(flat, kind="stable")
+        self.leader = np.repeat(np.arange(len(sketches)), self.lengths)[by]
+        self.grams, self.first, self.times = np.unique(flat[by], return_index=True, return_counts=True)
+
+    def of(self, grams: np.ndarray, edges: np.ndarray) -> list[int]:
+        """For each set the leader of whose sketch it holds the largest share, of a half or more, of those half to twice as large; else -1."""
+        n = len(edges) - 1
+        if not len(self.grams):
+            return [-1] * n
+        low = np.flatnonzero(grams <= self.grams[-1])
+        at = np.searchsorted(self.grams, grams[low])
+        found = self.grams[at] == grams[low]
+        at, row = at[found], np.searchsorted(edges, low[found], side="right") - 1
+        times = self.times[at]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pairs, held = np.unique(np.repeat(row, times) * len(self.lengths) + self.leader[np.repeat(self.first[at], times) + nth], return_counts=True)
+        row, leader = pairs // len(self.lengths), pairs % len(self.lengths)
+        share = np.where(_comparable(np.diff(edges)[row], self.sizes[leader]), held / self.lengths[leader], 0)
+        row, leader = (x[np.argsort(share, kind="stable")][np.sort(share) >= 0.5] for x in (row, leader))
+        out = np.full(n, -1)
+        out[row] = leader  # of one row's, the last stays, which has the largest share
+        return out.tolist()
+
+
+def _comparable(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return (n <= 2 * m) & (m <= 2 * n)
+
+
+def _leaders_among(sketches: list[np.ndarray], sizes: np.ndarray) -> Leaders:
+    """Sets that are at least ``AROUND`` with those around them, by their sketches; those with the most common n-grams first."""
+    flat, lengths = np.concatenate([*sketches, np.zeros(0, np.uint64)]), np.array([len(x) for x in sketches], np.int64)
+    row = np.repeat(np.arange(len(sketches)), lengths)
+    _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+    common = np.bincount(row[times[inverse] >= AROUND], minlength=len(sketches))
+    free, found = np.ones(len(sketches), bool), []
+    for k in np.argsort(-common, kind="stable").tolist():
+        if len(found) == LEADERS or 2 * common[k] < lengths[k]:
+            break
+        if free[k]:
+            near = (2 * np.bincount(row[np.isin(flat, sketches[k])], minlength=len(sketches)) >= lengths[k]) & _comparable(sizes, sizes[k])
+            if np.count_nonzero(near & free) >= AROUND:
+                found.append(k)
+                free &= ~near
+        free[k] = False
+    return Leaders([sketches[k] for k in found], [int(sizes[k]) for k in found])
+
+
+def leaders(docs: DataFrame, n: int) -> Leaders:
+    """Look for leaders in a sample of ``docs``, which has ``n`` rows."""
+
+    def sketch(batches):
+        schema = pa.schema([("digest", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+        for batch in batches:
+            for part in slices(batch, limit=GRAM_BYTES):
+                grams, edges = gram_sets(part.column("text"))
+                sets = [grams[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if a < b]
+                yield as_batch([[_digest(x) for x in sets], [len(x) for x in sets], [x[:SKETCH].tobytes() for x in sets]], schema)
+        tidy()
+
+    some = docs.select("text")
+    rows = (some if n <= SAMPLED else some.sample(SAMPLED / n, 7)).mapInArrow(sketch, "digest long, size long, sketch binary").toArrow()
+    by = {d: (x, n) for d, n, x in zip(*(c.to_pylist() for c in rows.columns))}
+    return _leaders_among([np.frombuffer(by[d][0], np.uint64) for d in sorted(by)], np.array([by[d][1] for d in sorted(by)], np.int64))
+
+
 def prefix_size(size: int, threshold: float) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
@@ -165,25 +245,24 @@ def _least_meetings(pairs: np.ndarray, threshold: float) -> np.ndarray:
     return np.minimum(60_000, threshold / (1 + threshold) * low.sum(axis=1) - threshold * high.max(axis=1) - SLACK)
 
 
-def _described(text: pa.Array, order: Order, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int] | None]:
-    """For each text: size, set, prefix, group; None without a set."""
+def _described(text: pa.Array, order: Order, led: Leaders, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, bool] | None]:
+    """For each text: size, set, prefix, group, and if that is a leader's; None without a set."""
     grams, edges = gram_sets(text)
     ranks = order.ranks(grams)
     some = np.concatenate([[0], np.cumsum(ranks > 0)])[edges]
-    for a, b, hot in zip(edges[:-1].tolist(), edges[1:].tolist(), (some[1:] > some[:-1]).tolist()):
+    for a, b, hot, leader in zip(edges[:-1].tolist(), edges[1:].tolist(), (some[1:] > some[:-1]).tolist(), led.of(grams, edges)):
         if a == b:
             yield None
             continue
         whole = grams[a:b]
         p = prefix_size(b - a, threshold)
         prefix = whole[np.argsort(ranks[a:b], kind="stable")[:p]] if hot else whole[:p]
-        group = xxhash.xxh3_64_intdigest(prefix.tobytes() + (b - a).to_bytes(8, "little"))
-        yield b - a, whole, prefix, group & ~0xFF | _size_class(b - a)
+        group = xxhash.xxh3_64_intdigest(prefix.tobytes() + (b - a).to_bytes(8, "little") if leader < 0 else b"leader %d" % leader)
+        yield b - a, whole, prefix, group & ~0xFF | _size_class(b - a), leader >= 0
 
 
-def _bits(docs: DataFrame) -> int:
+def _bits(size: int) -> int:
     """log2 of the number of parts of the n-gram index, which follows the bytes of text."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return min(24, max(4, math.ceil(math.log2(max(1, size / PART_BYTES)))))
 
 
@@ -275,14 +354,14 @@ def _digest(grams: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
 
 
-def described(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
+def described(docs: DataFrame, order: Order, led: Leaders, threshold: float) -> DataFrame:
     """(doc_id, grp, digest, size, bitmap) for each row; nulls and size 0 for one without a set. Written, as it is read several times."""
 
     def describe(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("bitmap", pa.binary())])
         for batch in batches:
             for part in slices(batch, limit=GRAM_BYTES):
-                found = _described(part.column("text"), order, threshold)
+                found = _described(part.column("text"), order, led, threshold)
                 rows = [(i, np.uint64(g[3]).astype(np.int64), _digest(g[1]), g[0], bitmap(g[1])) if g else (i, None, None, 0, None) for i, g in zip(part.column("doc_id").to_pylist(), found)]
                 yield as_batch(list(zip(*rows)), schema)
         tidy()
@@ -382,35 +461,40 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k, n in enumerate(names)})
 
 
-def group_pairs(docs: DataFrame, order: Order, threshold: float) -> DataFrame:
+def group_pairs(docs: DataFrame, order: Order, led: Leaders, threshold: float) -> DataFrame:
     """Pairs of groups that share enough n-grams of their prefixes and are near enough in size."""
     bits = order.bits
     reach = math.ceil(math.log(1 / threshold) / math.log(_RATIO)) + 1
 
     def index(batches):
         schema = pa.schema([("part", pa.int32()), ("grams", pa.binary()), ("groups", pa.binary())])
-        held, seen, n = [], set(), 0
+        held, seen, wide, n = [], set(), {}, 0
 
         def send():
-            grams = np.concatenate([p for p, _ in held])
-            groups = np.repeat(np.array([g for _, g in held], np.uint64), [len(p) for p, _ in held])
+            every = held + [(np.unique(np.concatenate(p)), g) for g, p in wide.items()]
+            grams = np.concatenate([p for p, _ in every])
+            groups = np.repeat(np.array([g for _, g in every], np.uint64), [len(p) for p, _ in every])
             by = np.argsort(grams)
             grams, groups = grams[by], groups[by]
             return as_batch(list(zip(*((k, _short(grams[s], bits).tobytes(), groups[s].tobytes()) for k, s in _parts(grams, bits)))), schema)
 
         for batch in batches:
             for part in slices(batch, limit=GRAM_BYTES):
-                for found in _described(part.column("text"), order, threshold):
-                    if found and found[3] not in seen:
+                for found in _described(part.column("text"), order, led, threshold):
+                    if found and found[4]:
+                        wide.setdefault(found[3], []).append(found[2].copy())
+                        n += len(found[2])
+                    elif found and found[3] not in seen:
                         seen.add(found[3])
                         held.append((found[2].copy(), found[3]))
                         n += len(found[2])
                 if n > GATHERED:
                     yield send()
-                    held, seen, n = [], set(), 0
+                    held, seen, wide, n = [], set(), {}, 0
         if n:
             yield send()
             held.clear()
+            wide.clear()
         tidy()
 
     def meet(group: pa.Table) -> pa.Table:
@@ -546,6 +630,22 @@ class _Forest:
         low, high = sorted((self.root(x), self.root(y)))
         self.up[high] = low
 
+    def add_all(self, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> None:
+        """Links between sets of ``left`` and of ``right`` where ``near`` says so."""
+        for own, links in ((left, near.sum(axis=1)), (right, near.sum(axis=0))):
+            for x, n in zip(own[links > 0].tolist(), links[links > 0].tolist()):
+                self.links[x] = self.links.get(x, 0) + n
+        most = np.iinfo(np.int64).max
+        rows, columns, before = left.copy(), right.copy(), None
+        while before is None or (rows != before).any():  # the least number goes around
+            before = rows
+            columns = np.minimum(columns, np.where(near, rows[:, None], most).min(axis=0))
+            rows = np.minimum(rows, np.where(near, columns, most).min(axis=1))
+        for own, least in ((left, rows), (right, columns)):
+            for x, y in zip(own[own != least].tolist(), least[own != least].tolist()):
+                low, high = sorted((self.root(x), self.root(y)))
+                self.up[high] = low
+
     def table(self) -> pa.Table:
         return pa.table({"digest": pa.array(list(self.links), pa.int64()), "links": pa.array(list(self.links.values()), pa.int64()), "root": pa.array([self.root(x) for x in self.links], pa.int64())})
 
@@ -564,11 +664,11 @@ def _collect(alike: Iterator[tuple[int, int, float]], pairs: bool) -> pa.Table:
     return forest.table()
 
 
-def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, row_bytes: int = 64) -> DataFrame:
     """The rows of ``wanted`` (digest and more) with their set's text. Texts travel, as they are smaller than their sets."""
     more = [c for c in wanted.columns if c != "digest"]
     needs = wanted.join(reps, "digest").groupBy("rep").agg(F.collect_list(F.struct("digest", *more)).alias("wanted")).withColumnRenamed("rep", "doc_id")
-    return join_side(docs, needs, "doc_id", "inner", 64).select("text", F.explode("wanted").alias("w")).select("text", "w.*")
+    return join_side(docs, needs, "doc_id", "inner", row_bytes).select("text", F.explode("wanted").alias("w")).select("text", "w.*")
 
 
 def verify(docs: DataFrame, reps: DataFrame, bitmaps: DataFrame, found: DataFrame, threshold: float, pairs: bool) -> DataFrame:
@@ -587,48 +687,111 @@ def verify(docs: DataFrame, reps: DataFrame, bitmaps: DataFrame, found: DataFram
     return placed.groupBy("place").cogroup(texts.groupBy("place")).applyInArrow(compare, _PAIRS if pairs else _LINKS)
 
 
-def within(docs: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float, pairs: bool) -> DataFrame:
-    """The alike sets of one group, which is laid out in tiles of blocks of its sets."""
-    several = sets.groupBy("grp").count().where("count > 1").select("grp", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    own = sets.select("grp", "digest").join(several, "grp").withColumn("b", F.pmod(F.xxhash64("digest"), "blocks"))
+def _crowds(pairs: DataFrame, several: DataFrame) -> DataFrame:
+    """(grp, other, crowd): the pairs of groups, and the sets of the larger, which comes first."""
+    own = several.select("grp", F.col("count").alias("n"))
+    pairs = join_side(join_side(pairs, own, "grp", "left", 16), own.toDF("other", "m"), "other", "left", 16)
+    pairs = pairs.select("grp", "other", *(F.coalesce(c, F.lit(1)).alias(c) for c in ("n", "m")))
+    swap = F.col("m") > F.col("n")
+    return pairs.select(F.when(swap, F.col("other")).otherwise(F.col("grp")).alias("grp"), F.when(swap, F.col("grp")).otherwise(F.col("other")).alias("other"), F.greatest("n", "m").alias("crowd"))
+
+
+def _tiles_within(sets: DataFrame, several: DataFrame) -> DataFrame:
+    """(digest, tile, side, same): the sets of each group in pairs of its blocks; ``same`` where a block meets itself."""
+    own = sets.select("grp", "digest").join(several.select("grp", F.ceil(F.col("count") / BLOCK).alias("blocks")), "grp").withColumn("b", F.pmod(F.xxhash64("digest"), "blocks"))
     own = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = stored(own.select("digest", F.xxhash64("grp", F.least("b", "k"), F.greatest("b", "k")).alias("tile"), F.col("b").alias("block")), "ngram-tiles")
-    places = max(16, tiles.count() // BLOCK)
+    return own.select("digest", F.xxhash64("grp", F.least("b", "k"), F.greatest("b", "k")).alias("tile"), (F.col("b") > F.col("k")).alias("side"), F.expr("b = k").alias("same"))
+
+
+def _tiles_between(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(digest, tile, side, same): the sets of each larger group in blocks, with blocks of the sets of its partners."""
+    own = sets.select("grp", "digest")
+    partners = pairs.join(own.toDF("other", "digest"), "other").select("grp", "digest")
+    blocks = partners.groupBy("grp").count().withColumnRenamed("count", "m").join(pairs.select("grp", "crowd").distinct(), "grp")
+    blocks = checkpoint(blocks.select("grp", F.ceil(F.col("crowd") / BLOCK).alias("rows"), F.ceil(F.col("m") / BLOCK).alias("columns")))
+
+    def side(of: DataFrame, right: bool) -> DataFrame:
+        mine, others = ("columns", "rows") if right else ("rows", "columns")
+        of = of.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("digest"), mine)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return of.select("digest", F.xxhash64("grp", *(("k", "b") if right else ("b", "k")), F.lit("between")).alias("tile"), F.lit(right).alias("side"), F.lit(False).alias("same"))
+
+    return side(own, False).unionByName(side(partners, True))
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of ``left`` shares with each of ``right``."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.int64)
+
+    def bits(sets: list[np.ndarray], flat: np.ndarray, some: np.ndarray) -> np.ndarray:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+        found = some[at] == flat
+        plain = np.zeros((len(sets), -(-len(some) // 64) * 64), bool)
+        plain[row[found], at[found]] = True
+        return np.packbits(plain, axis=1).view(np.uint64)
+
+    for k in range(0, len(shared), 1 << 14):  # so many columns at once
+        x, y = (bits(sets, flat, shared[k : k + (1 << 14)]) for sets, flat in ((left, a), (right, b)))
+        for w in range(x.shape[1]):
+            out += np.bitwise_count(x[:, w, None] & y[None, :, w])
+    return out
+
+
+def tiled(docs: DataFrame, tiles: DataFrame, reps: DataFrame, threshold: float, pairs: bool) -> DataFrame:
+    """The alike sets of tiles, in each of which all of one side meet all of the other, or one another."""
+    tiles = stored(tiles, "ngram-tiles")
+    rows, different = tiles.agg(F.count("*"), F.countDistinct("digest")).first()
+    places = max(16, rows // BLOCK)
     tiles = tiles.withColumn("place", F.pmod("tile", F.lit(places)).cast("int"))
 
     def compare(own: pa.Table) -> pa.Table:
         by = _grams_of(own)
-        of: dict[int, dict[int, list[int]]] = {}
-        for tile, block, digest in zip(*(own.column(n).to_pylist() for n in ("tile", "block", "digest"))):
+        of: dict[tuple[int, bool], tuple[set[int], set[int]]] = {}
+        for tile, side, same, digest in zip(*(own.column(n).to_pylist() for n in ("tile", "side", "same", "digest"))):
             if digest in by:
-                of.setdefault(tile, {}).setdefault(block, []).append(digest)
+                of.setdefault((tile, same), (set(), set()))[side].add(digest)
 
         def met():
-            for blocks in of.values():
-                (left, *right) = (sorted(set(x)) for x in blocks.values())
-                yield from ((x, y) for x in left for y in right[0]) if right else ((x, y) for i, x in enumerate(left) for y in left[i + 1 :])
-
-        each = ((x, y, _jaccard(by[x], by[y])) for x, y in met())
-        out = _collect((z for z in each if z[2] >= threshold - 1e-12), pairs)
+            for (_, same), (left, right) in of.items():
+                x, y = sorted(left), sorted(left if same else right)
+                if x and y:
+                    one, other = ([by[d] for d in z] for z in (x, y))
+                    shared = _overlaps(one, other)
+                    jaccard = shared / (np.array([len(z) for z in one])[:, None] + np.array([len(z) for z in other]) - shared)
+                    yield np.array(x), np.array(y), np.triu(jaccard, 1) if same else jaccard
+
+        if pairs:
+            out = _collect(((x[i], y[j], z[i, j]) for x, y, z in met() for i, j in np.argwhere(z >= threshold - 1e-12)), True)
+        else:
+            forest = _Forest()
+            for x, y, z in met():
+                forest.add_all(x, y, z >= threshold - 1e-12)
+            out = forest.table()
         del by
         tidy()
         return out
 
-    return _texts(docs, reps, tiles).groupBy("place").applyInArrow(compare, _PAIRS if pairs else _LINKS)
+    return _texts(docs, reps, tiles, 64 + 32 * (rows // max(1, different))).groupBy("place").applyInArrow(compare, _PAIRS if pairs else _LINKS)
 
 
 def _similar(docs: DataFrame, threshold: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows as described, members and distinct sets, and what is alike of these: pairs, or links and forests."""
     docs = id_text(docs).where("doc_id is not null")
     texts = docs.where("text is not null")
-    order = frequent(texts, _bits(texts))
-    rows = described(docs, order, threshold)
+    n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    order, led = frequent(texts, _bits(size or 0)), leaders(texts, n)
+    rows = described(docs, order, led, threshold)
     members = checkpoint(members_of(rows))
     sets = checkpoint(sets_of(members))
     reps = sets.select("digest", "rep")
     bitmaps = rows.where("size > 0").select("digest", F.col("doc_id").alias("rep"), "bitmap").join(reps, ["digest", "rep"], "left_semi").dropDuplicates(["digest"]).select("digest", "bitmap")
-    found = candidates(sets, group_pairs(texts, order, threshold), threshold)
-    near = verify(texts, reps, bitmaps, found, threshold, pairs).unionByName(within(texts, sets, reps, threshold, pairs))
+    several = checkpoint(sets.groupBy("grp").count().where("count > 1"))
+    met = stored(_crowds(group_pairs(texts, order, led, threshold), several), "ngram-pairs")
+    tiles = _tiles_within(sets, several).unionByName(_tiles_between(sets, met.where(F.col("crowd") > CROWD)))
+    found = candidates(sets, met.where(F.col("crowd") <= CROWD).select("grp", "other"), threshold)
+    near = verify(texts, reps, bitmaps, found, threshold, pairs).unionByName(tiled(texts, tiles, reps, threshold, pairs))
     return rows, members, sets, near
 
 

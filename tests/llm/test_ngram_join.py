@@ -190,3 +190,37 @@ def test_blocks_of_a_long_list_meet_as_the_list_does(monkeypatch):
         found = nj._across(x, y, 9) if len(y) else nj._meetings(np.sort(x), np.array([0]), 9)
         got += [tuple(p) for part in found for p in part.tolist()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def near_copies(seed, n):
+    """A text of 70 words and copies with some words changed, of which some are alike and some aren't; ids from 2000."""
+    r = random.Random(seed)
+    base = [f"b{k}" for k in range(70)]
+    return [(2000 + k, " ".join(f"x{r.randrange(500)}" if r.random() < share else w for w in base[: r.randint(60, 70)])) for k in range(n) for share in [r.choice([0, 0.02, 0.05, 0.1])]]
+
+
+def test_near_copies_of_one_text_meet_in_tiles(spark, monkeypatch):
+    """Pairs of a large cluster are neither meetings nor rows of candidates, and none is lost or counted twice."""
+    monkeypatch.setattr(nj, "BLOCK", 4)
+    monkeypatch.setattr(nj, "CROWD", 2)
+    rows = near_copies(5, 90) + corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed, stored = [], nj.stored
+    monkeypatch.setattr(nj, "stored", lambda df, name: placed.append(df.count()) or stored(df, name) if name == "ngram-candidates" else stored(df, name))
+    got = nj.classes(docs).collect()
+    want = brute_classes(rows, nj.THRESHOLD)
+    assert {r.doc_id: (r.class_id, r.copies, r.links) for r in got} == want
+    assert sum(v[2] for k, v in want.items() if k >= 2000) > 10 * placed[0]
+    assert expand(nj.similar(docs).collect()).keys() == brute_pairs(rows, nj.THRESHOLD).keys()
+
+
+def test_overlaps_and_forests_of_tiles():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 300, 80).astype(np.uint64)) for _ in range(40)]
+    assert nj._overlaps(sets[:15], sets[15:]).tolist() == [[len(np.intersect1d(x, y)) for y in sets[15:]] for x in sets[:15]]
+    near = np.triu(r.random((40, 40)) < 0.03, 1)
+    one, all_at_once = nj._Forest(), nj._Forest()
+    for i, j in np.argwhere(near).tolist():
+        one.add(i, j)
+    all_at_once.add_all(np.arange(40), np.arange(40), near)
+    assert one.links == all_at_once.links and all(one.root(x) == all_at_once.root(x) for x in one.links)
