@@ -59,8 +59,10 @@ from pyspark.sql import functions as F
 from .common import FOLD, as_batch, checkpoint, id_text, join_side, slices, stored, table, tidy, utf8_buffer, without
 
 WORDS, THRESHOLD = 3, 0.6
-#: An n-gram in more documents than this goes to the end of the order, if it is among the most frequent ``ORDERED``.
+#: An n-gram in more documents than this goes behind all others in the order, and to its end, by number of documents, if it is among the most frequent ``ORDERED``.
 FREQUENT, ORDERED = 10, 1 << 19
+#: log2 of the bits that tell frequent n-grams, in each part and in all at most. Others that share their bit go behind, too.
+MARKED, MARKED_ALL = 16, 28
 #: Bits of an n-gram, beside those that name its part, by which it is counted for the order.
 COUNTED = 24
 #: n-grams that a worker gathers before it sends them on, and pairs that it counts together.
@@ -137,14 +139,14 @@ def gram_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Order:
-    """The order of n-grams: rare ones by hash, then the frequent ones by number of documents."""
+    """The order of n-grams: rare ones by hash, then frequent ones by hash, as ``marks`` tell them, then the most frequent by number of documents."""
 
-    def __init__(self, bits: int, keys: np.ndarray, documents: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: int, keys: np.ndarray, documents: np.ndarray, marks: np.ndarray):
+        self.bits, self.marks = bits, marks
         by_key = np.argsort(keys)
         self.keys = keys[by_key].astype(np.uint64)
         rank = np.empty(len(keys), np.uint32)
-        rank[np.lexsort((keys, documents))] = np.arange(1, len(keys) + 1)
+        rank[np.lexsort((keys, documents))] = np.arange(2, len(keys) + 2)
         self.rank = rank[by_key]
 
     def ranks(self, grams: np.ndarray) -> np.ndarray:
@@ -152,7 +154,14 @@ class Order:
             return np.zeros(len(grams), np.uint32)
         short = grams >> np.uint64(64 - COUNTED - self.bits)
         at = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
-        return np.where(self.keys[at] == short, self.rank[at], np.uint32(0))
+        place = grams >> np.uint64(64 - self.bits - _marked(self.bits))
+        behind = self.marks[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)
+        return np.where(self.keys[at] == short, self.rank[at], behind.astype(np.uint32))
+
+
+def _marked(bits: int) -> int:
+    """log2 of the marks of a part, of 2**bits."""
+    return min(MARKED, MARKED_ALL - bits)
 
 
 class Leaders:
@@ -327,12 +336,25 @@ def frequent(docs: DataFrame, bits: int) -> Order:
         grams, starts = np.unique(grams[by], return_index=True)
         documents = np.add.reduceat(counts[by].astype(np.int64), starts) if len(starts) else starts
         hot = documents > FREQUENT
-        keys = (np.uint64(key[0].as_py()) << np.uint64(COUNTED)) | grams[hot].astype(np.uint64)
-        return pa.table({"gram": pa.array(keys.astype(np.int64)), "documents": pa.array(documents[hot], pa.int64())})
-
-    counted = docs.select("text").mapInArrow(count, "part int, once binary, more binary, counts binary").groupBy("part").applyInArrow(total, "gram long, documents long")
-    top = counted.orderBy(F.desc("documents"), "gram").limit(ORDERED).toArrow()
-    return Order(bits, top.column("gram").to_numpy().astype(np.uint64), top.column("documents").to_numpy())
+        marks = np.zeros(1 << _marked(bits), bool)
+        marks[grams[hot] >> (COUNTED - _marked(bits))] = True
+        keys, documents = (np.uint64(key[0].as_py()) << np.uint64(COUNTED)) | grams[hot].astype(np.uint64), documents[hot]
+        most = np.argsort(-documents, kind="stable")[:ORDERED]
+        none = pa.nulls(len(most), pa.binary())
+        return pa.concat_tables([
+            pa.table({"gram": pa.array([key[0].as_py()], pa.int64()), "documents": pa.array([-1], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())}),
+            pa.table({"gram": pa.array(keys[most].astype(np.int64)), "documents": pa.array(documents[most], pa.int64()), "marks": none}),
+        ])
+
+    counted = docs.select("text").mapInArrow(count, "part int, once binary, more binary, counts binary").groupBy("part").applyInArrow(total, "gram long, documents long, marks binary")
+    counted = stored(counted, "ngram-counts")
+    marks = np.zeros(1 << (bits + _marked(bits) - 3), np.uint8)
+    parts = marks.reshape(1 << bits, -1)
+    found = counted.where("marks IS NOT NULL").select("gram", "marks").toArrow()
+    for k, part in zip(found.column("gram").to_pylist(), found.column("marks")):
+        parts[k] = np.frombuffer(part.as_buffer(), np.uint8)
+    top = counted.where("marks IS NULL").select("gram", "documents").orderBy(F.desc("documents"), "gram").limit(ORDERED).toArrow()
+    return Order(bits, top.column("gram").to_numpy().astype(np.uint64), top.column("documents").to_numpy(), marks)
 
 
 def bitmap(grams: np.ndarray) -> bytes:

@@ -224,3 +224,16 @@ def test_overlaps_and_forests_of_tiles():
         one.add(i, j)
     all_at_once.add_all(np.arange(40), np.arange(40), near)
     assert one.links == all_at_once.links and all(one.root(x) == all_at_once.root(x) for x in one.links)
+
+
+def test_all_frequent_grams_go_behind_the_rare_ones(spark, monkeypatch):
+    """Also those that aren't among the most frequent."""
+    monkeypatch.setattr(nj, "FREQUENT", 3)
+    monkeypatch.setattr(nj, "ORDERED", 2)
+    texts = [f"often is this and {'also that' if k < 9 else 'never'} but own{k} and own{k} alone" for k in range(12)]
+    order = nj.frequent(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), 4)
+    grams, _ = nj.gram_sets(pa.array(texts))
+    every, times = np.unique(grams, return_counts=True)
+    assert len(order.keys) == 2 and np.count_nonzero(times > 3) > 4
+    assert (order.ranks(every[times > 3]) > 0).all() and np.count_nonzero(order.ranks(every[times > 3]) > 1) == 2
+    assert np.count_nonzero(order.ranks(every[times == 1])) < 2
