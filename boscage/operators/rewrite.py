@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import difflib
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,23 +28,28 @@ def plan(chosen: DataFrame, sources: DataFrame, make: Callable[[dict], Edit], la
 
     ``sources`` is (file_path, text). ``make`` gives each node's edit; it is sent to the workers.
     """
-    rows = chosen.select("file_path", "node_id", "name", "type", "language", "start_line", "end_line", *[c for c in ("anchor_start", "anchor_end") if c in chosen.columns])
+    fields = ["node_id", "name", "type", "language", "start_line", "end_line", *[c for c in ("anchor_start", "anchor_end") if c in chosen.columns]]
+    nodes = chosen.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("nodes"))
+    files = nodes.join(sources.select("file_path", "text").hint("merge"), "file_path").select("file_path", "text", "nodes")
+    schema = pa.schema([("file_path", pa.string()), ("old_text", pa.string()), ("new_text", pa.string()), ("errors", pa.int32()), ("failure", pa.string())])
 
-    def run(nodes: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        if not len(nodes) or not len(texts):
-            return pd.DataFrame([], columns=["file_path", "old_text", "new_text", "errors", "failure"])
-        path, old = texts["file_path"].iloc[0], texts["text"].iloc[0]
-        listed = nodes.sort_values("node_id").to_dict("records")
+    def edited(path: str, old: str, listed: list[dict]) -> tuple:
         failure, new, errors = None, old, 0
         try:
             new = splice(old, [(n, make(n)) for n in listed])
         except ValueError as e:
             failure = str(e)
         if languages.reads(path) and new != old:
-            errors = max(0, languages.errors(new, path) - languages.errors(old, path))
-        return pd.DataFrame([(path, old, new, errors, failure)], columns=["file_path", "old_text", "new_text", "errors", "failure"])
+            errors = languages.errors(new, path)
+            errors = max(0, errors - languages.errors(old, path)) if errors else 0
+        return path, old, new, errors, failure
 
-    return rows.groupBy("file_path").cogroup(sources.select("file_path", "text").groupBy("file_path")).applyInPandas(run, _OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(edited(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("file_path", "text", "nodes")))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return files.mapInArrow(run, _OUT)
 
 
 def faults(planned: DataFrame) -> list[str]:
