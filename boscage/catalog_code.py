@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .operators import graph, isolate, rewrite, search
 from .plans.chain import Chain
 from .selection import Grove, Selection
+from .sources import files
 from .sources.languages import BUILT_IN
 
 _PYTHON = """import os
@@ -51,7 +52,7 @@ def _sql_text(template: str) -> str:
 
 
 def _sources(spark: SparkSession, sf_dir: str, template: str = _PYTHON, ending: str = ".py") -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    part = files.spread(files.measuring(spark).read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s")), "k")
     pieces = template.format(k="\0k\0", s="\0s\0").split("\0")
     text = F.concat(*[F.col(x).cast("string") if x in ("k", "s") else F.lit(x) for x in pieces])
     return part.select(F.concat(F.lit("part/"), "k", F.lit(ending)).alias("file_path"), text.alias("text"))
@@ -63,7 +64,7 @@ def _src(template: str = _PYTHON, ending: str = ".py") -> str:
 
 def _grove(spark: SparkSession, sf_dir: str, template: str = _PYTHON, ending: str = ".py") -> Grove:
     sources = _sources(spark, sf_dir, template, ending)
-    return Grove(spark, nodes=BUILT_IN.nodes(sources), sources=sources)
+    return Grove(sources.sparkSession, nodes=BUILT_IN.nodes(sources), sources=sources)
 
 
 def register(add: Callable[[str, Callable, str | None], None]) -> None:

@@ -22,3 +22,24 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     df = spark.read.format("binaryFile").load(paths)
     bare = F.regexp_replace(F.col("path"), "^file:/*(?=/)", "")
     return df.select(bare.alias("file_path"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("modified"))
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Rows over all cores by a key. A few row groups of a table may name more files than one core can parse."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
+
+
+def measuring(spark: SparkSession) -> SparkSession:
+    """A session with the same settings, in which a join is broadcast only if what was written for it is small.
+
+    Spark guesses the nodes of a file as no larger than its row in a table, and would send all of them to the driver.
+    """
+    out = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            out.conf.set(name, value)
+    most = "spark.sql.autoBroadcastJoinThreshold"
+    out.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) or spark.conf.get(most))
+    out.conf.set(most, "-1")
+    return out
