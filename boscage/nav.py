@@ -17,9 +17,9 @@ def end() -> Column:
     return F.col("node_id") + F.col("descendant_count")
 
 
-def _before(order: str | Column) -> WindowSpec:
+def _before(*order: str | Column) -> WindowSpec:
     """All nodes of the tree before this one in an order."""
-    return Window.partitionBy("file_path").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("file_path").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _family() -> WindowSpec:
@@ -31,14 +31,14 @@ def truth(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
-def below(flag: Column) -> Column:
-    """Whether a node lies below one with ``flag``; over all nodes of whole trees."""
-    return truth(F.max(F.when(flag, end())).over(_before("node_id")) >= F.col("node_id"))
+def below(flag: Column, *then: str) -> Column:
+    """Whether a node lies below one with ``flag``; over all nodes of whole trees. ``then`` orders rows of one node."""
+    return truth(F.max(F.when(flag, end())).over(_before("node_id", *then)) >= F.col("node_id"))
 
 
-def above(flag: Column) -> Column:
+def above(flag: Column, *then: str) -> Column:
     """Whether a node with ``flag`` lies below this one."""
-    return truth(F.min(F.when(flag, F.col("node_id"))).over(_before(F.desc("node_id"))) <= end())
+    return truth(F.min(F.when(flag, F.col("node_id"))).over(_before(F.desc("node_id"), *then)) <= end())
 
 
 def after_sibling(flag: Column) -> Column:
@@ -86,7 +86,8 @@ def _kept(nodes: DataFrame, chosen: DataFrame, relation) -> DataFrame:
     columns = nodes.columns
     asked = chosen.select("file_path", "node_id", "descendant_count", F.lit(True).alias("_mark"))
     both = nodes.withColumn("_mark", F.lit(False)).unionByName(asked, allowMissingColumns=True)
-    return both.withColumn("_hit", relation(F.col("_mark"))).where("_hit AND NOT _mark").select(columns)
+    # a chosen node's mark comes after the node itself, which lies neither below nor above itself
+    return both.withColumn("_hit", relation(F.col("_mark"), "_mark")).where("_hit AND NOT _mark").select(columns)
 
 
 def enclosing(outer: DataFrame, inner: DataFrame, innermost: bool = True) -> DataFrame:
