@@ -124,9 +124,39 @@ def enclosing(outer: DataFrame, inner: DataFrame, innermost: bool = True) -> Dat
     return both.mapInArrow(run, "file_path string, of long, node_id long")
 
 
+def innermost(both: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows with ``_outer`` that have one with ``_inner`` below them and no other ``_outer`` between.
+
+    One pass over all rows in pre-order with the open nodes on a stack, which is linear in
+    the rows; a task holds no more of a tree than the batches with open nodes.
+    """
+    rows = both.select(*columns, end().alias("_to"), "_outer", "_inner").repartition("file_path").sortWithinPartitions("file_path", "node_id", F.desc("_inner"))
+
+    def run(batches):
+        path, opened = None, []  # of each open node: its end, batch and row, and whether it was found
+        for batch in batches:
+            found = {}
+            for k, (file, node, to, outer, inner) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("file_path", "node_id", "_to", "_outer", "_inner")))):
+                if file != path:
+                    path, opened = file, []
+                while opened and opened[-1][0] < node:
+                    opened.pop()
+                if inner and opened and not opened[-1][3]:
+                    opened[-1][3] = True
+                    found.setdefault(id(opened[-1][1]), (opened[-1][1], []))[1].append(opened[-1][2])
+                if outer:
+                    opened.append([to, batch, k, False])
+            for held, at in found.values():
+                yield held.select(columns).take(pa.array(at, pa.int64()))
+
+    return rows.mapInArrow(run, both.select(*columns).schema)
+
+
 def nearest_ancestors_of(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Of the nodes above each chosen one, the innermost."""
-    return semi(nodes, enclosing(nodes, chosen), file_path="file_path", node_id="node_id")
+    asked = chosen.select("file_path", "node_id").distinct().withColumns({"_outer": F.lit(False), "_inner": F.lit(True)})
+    both = nodes.withColumns({"_outer": F.lit(True), "_inner": F.lit(False)}).unionByName(asked, allowMissingColumns=True)
+    return innermost(both, nodes.columns)
 
 
 def first_below(chosen: DataFrame, found: DataFrame, *columns: str) -> DataFrame:

@@ -17,8 +17,10 @@ def _names(chosen: DataFrame) -> DataFrame:
 
 def callers(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Functions around calls of a chosen name, in any file; calls outside functions have none."""
-    calls = nodes.where(F.col("semantic_name") == CALL).join(_names(chosen), "name", "left_semi")
-    return nav.nearest_ancestors_of(nodes.where(F.col("semantic_name") == FUNCTION), calls)
+    kind = F.col("semantic_name")
+    asked = _names(chosen).select(F.col("name").alias("_name"), F.lit(True).alias("_asked"))
+    both = nodes.where(kind.isin(CALL, FUNCTION)).join(asked, F.when(kind == CALL, F.col("name")) == F.col("_name"), "left")
+    return nav.innermost(both.withColumns({"_outer": kind == FUNCTION, "_inner": nav.truth(F.col("_asked"))}), nodes.columns)
 
 
 def callees(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
