@@ -1,46 +1,97 @@
-"""Blocks taken out of their file: which names they need from outside, as joins keyed by the block."""
+"""Blocks taken out of their file: which names they need from outside, in one pass over each file's names."""
 
 from __future__ import annotations
 
+import bisect
 import builtins
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import nav
 from . import view
 
-_BUILT_IN = sorted(dir(builtins))
+_BUILT_IN = frozenset(dir(builtins))
 _DECLARED = ["global_statement", "nonlocal_statement"]
+_IMPORTS = ["import_statement", "import_from_statement"]
+_FREE = T.StructType(
+    [
+        T.StructField("file_path", T.StringType()),
+        T.StructField("node_id", T.LongType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("start_line", T.IntegerType()),
+        T.StructField("end_line", T.IntegerType()),
+        T.StructField("params", T.ArrayType(T.StringType())),
+        T.StructField("statements", T.ArrayType(T.StructType([T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())]))),
+        T.StructField("builtins", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+def _of_file(path: str, rows: list[tuple]) -> Iterator[tuple]:
+    """Rows of ``_FREE`` for the chosen nodes (those with ``to``) of one file's rows (node_id, parent_id, name, type, flags, sibling_index, start_line, end_line, to)."""
+    chosen = [r for r in rows if r[8] is not None]
+    told = sorted((r for r in rows if r[8] is None), key=lambda r: r[0])
+    types = {r[0]: r[3] for r in told}
+    ids, uses, imported = [], [], {}
+    for node, parent, name, kind, flags, place, *_ in told:
+        above = types.get(parent)
+        role, identifier = (flags or 0) & 6, kind == "identifier"
+        if above in _IMPORTS:
+            if identifier and role == 6:
+                imported.setdefault(name, set()).add(parent)
+        elif name:
+            read = identifier and role == 2 and not (above == "attribute" and place > 0)
+            write = role == 6 or (identifier and above in _DECLARED)
+            if read or write:
+                ids.append(node)
+                uses.append((name, read, write))
+    spans = {r[0]: (r[6], r[7]) for r in told if r[3] in _IMPORTS}
+    first = {name: spans[min(of, key=lambda n: (spans[n][0], n))] for name, of in imported.items()}
+    for node, _, name, _, _, _, start, end, to in chosen:
+        inside = uses[bisect.bisect_left(ids, node) : bisect.bisect_right(ids, to)]
+        free = {n for n, read, _ in inside if read} - {n for n, _, write in inside if write}
+        own = free - _BUILT_IN
+        statements = sorted({first[n] for n in own if n in first})
+        yield path, node, name, start, end, sorted(own - first.keys()), [{"start_line": a, "end_line": b} for a, b in statements], sorted(free & _BUILT_IN)
+
+
+def _free_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_FREE`` of rows that lie together by file; a task holds one file at a time."""
+    schema = to_arrow_schema(_FREE)
+    path, held, out = None, [], []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    for frame in batches:
+        for file, *row in zip(*(frame.column(n).to_pylist() for n in ("file_path", "node_id", "parent_id", "name", "type", "flags", "sibling_index", "start_line", "end_line", "to"))):
+            if file != path:
+                out += _of_file(path, held)
+                path, held = file, []
+            held.append(tuple(row))
+        if out:
+            yield batch()
+            out = []
+    out += _of_file(path, held)
+    if out:
+        yield batch()
 
 
 def isolate(nodes: DataFrame, chosen: DataFrame, sources: DataFrame) -> DataFrame:
     """One row for each chosen node: its text, and the free names that are parameters, imports (as statements) and built-ins."""
-    parent = nodes.select("file_path", F.col("node_id").alias("parent_id"), F.col("type").alias("parent_type"))
-    named = nodes.where("name IS NOT NULL AND name <> ''")
-    within = nav.enclosing(chosen, named, innermost=False).select("file_path", F.col("node_id").alias("of"), F.col("of").alias("node_id"))
-    own = chosen.where("name IS NOT NULL AND name <> ''").select("file_path", F.col("node_id").alias("of"), "node_id")
-    names = named.join(within.unionByName(own), ["file_path", "node_id"]).join(parent, ["file_path", "parent_id"], "left")
-    identifier = F.col("type") == "identifier"
-    in_import = F.coalesce(F.col("parent_type").isin("import_statement", "import_from_statement"), F.lit(False))
-    member = F.coalesce((F.col("parent_type") == "attribute") & (F.col("sibling_index") > 0), F.lit(False))
-    reads = names.where(identifier & ~in_import & ~member & (F.col("flags").bitwiseAND(6) == 2)).select("file_path", "of", "name").distinct()
-    defined = (F.col("flags").bitwiseAND(6) == 6) | (identifier & F.coalesce(F.col("parent_type").isin(_DECLARED), F.lit(False)))
-    writes = names.where(defined & ~in_import).select("file_path", "of", "name").distinct()
-    free = reads.join(writes, ["file_path", "of", "name"], "left_anti")
-    imported = nodes.where(identifier & (F.col("flags").bitwiseAND(6) == 6)).select("file_path", "name", F.col("parent_id").alias("node_id"))
-    statements = view.texts(nodes.where(F.col("type").isin("import_statement", "import_from_statement")), sources).select("file_path", "node_id", F.trim("text").alias("statement"), "start_line")
-    first = Window.partitionBy("file_path", "name").orderBy("start_line", "node_id")
-    imports = imported.join(statements, ["file_path", "node_id"]).withColumn("nth", F.row_number().over(first)).where("nth = 1").select("file_path", "name", "statement", "start_line")
-    said = free.join(imports, ["file_path", "name"], "left").withColumn("built_in", F.col("name").isin(_BUILT_IN))
-    sets = said.groupBy("file_path", "of").agg(
-        F.sort_array(F.collect_set(F.when(~F.col("built_in") & F.col("statement").isNull(), F.col("name")))).alias("params"),
-        F.array_distinct(F.transform(F.sort_array(F.collect_set(F.when(~F.col("built_in") & F.col("statement").isNotNull(), F.struct("start_line", "statement")))), lambda x: x["statement"])).alias("imports"),
-        F.sort_array(F.collect_set(F.when(F.col("built_in"), F.col("name")))).alias("builtins"),
-    )
-    none = F.array().cast("array<string>")
-    out = view.texts(chosen, sources).join(sets.withColumnRenamed("of", "node_id"), ["file_path", "node_id"], "left")
-    return out.select("file_path", "node_id", "name", "start_line", "end_line", F.col("text").alias("body"), *[F.coalesce(c, none).alias(c) for c in ("params", "imports", "builtins")])
+    fields = ["file_path", "node_id", "parent_id", "name", "type", "flags", "sibling_index", "start_line", "end_line"]
+    told = nodes.where((F.col("name") != "") | F.col("type").isin(*_IMPORTS, *_DECLARED, "attribute"))
+    both = told.select(*fields, F.lit(None).cast("long").alias("to")).unionByName(chosen.select(*fields, nav.end().alias("to")))
+    found = both.repartition("file_path").sortWithinPartitions("file_path").mapInArrow(_free_names, _FREE)
+    files = sources.select("file_path", view.lines_of(F.col("text")).alias("_lines")).hint("merge")
+    said = F.transform("statements", lambda x: F.struct(x["start_line"].alias("start_line"), F.trim(view.between(F.col("_lines"), x["start_line"], x["end_line"])).alias("statement")))
+    imports = F.array_distinct(F.transform(F.sort_array(said), lambda x: x["statement"]))
+    return found.join(files, "file_path").select("file_path", "node_id", "name", "start_line", "end_line", view.between(F.col("_lines"), F.col("start_line"), F.col("end_line")).alias("body"), "params", imports.alias("imports"), "builtins")
 
 
 def as_function(row, name: str = "extracted") -> str:
