@@ -58,23 +58,19 @@ def reachable(nodes: DataFrame, chosen: DataFrame, steps: int | None = None) ->
     """(name, distance): functions reached from the chosen ones by calls, all or within a number of steps.
 
     Works on distinct names of callers and callees, which are far fewer than nodes, and ends as no new name is reached.
+    The steps stay with the executors, until nothing refers to them.
     """
-    functions = nodes.where(F.col("semantic_name") == FUNCTION)
-    calls = nodes.where(F.col("semantic_name") == CALL).select("file_path", F.col("scope.function").alias("node_id"), F.col("name").alias("to"))
-    edges = functions.select("file_path", "node_id", F.col("name").alias("from")).join(calls, ["file_path", "node_id"]).select("from", "to").distinct()
-    edges = edges.join(functions.select(F.col("name").alias("to")).distinct(), "to", "left_semi").persist()
-    seen = front = _names(chosen).withColumn("distance", F.lit(0)).persist()
-    kept, k = [edges, seen], 0
+    function = F.col("semantic_name") == FUNCTION
+    parts = nodes.where(function | (F.col("semantic_name") == CALL)).select("file_path", F.when(function, F.col("node_id")).otherwise(F.col("scope.function")).alias("of"), F.when(function, F.col("name")).alias("from"), F.when(~function, F.col("name")).alias("to"))
+    calling = parts.where("of IS NOT NULL").groupBy("file_path", "of").agg(F.max("from").alias("from"), F.collect_set("to").alias("to")).where("`from` IS NOT NULL").select("from", "to").localCheckpoint()
+    edges = calling.select("from", F.explode("to").alias("to")).distinct()
+    edges = edges.join(calling.select(F.col("from").alias("to")).distinct(), "to", "left_semi").localCheckpoint()
+    seen = front = _names(chosen).withColumn("distance", F.lit(0)).localCheckpoint()
+    k = 0
     while steps is None or k < steps:
         k += 1
-        front = front.join(edges, front["name"] == edges["from"]).select(F.col("to").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("distance", F.lit(k)).persist()
-        kept.append(front)
+        front = front.join(edges, front["name"] == edges["from"]).select(F.col("to").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("distance", F.lit(k)).localCheckpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    rows = [(r["name"], r["distance"]) for r in seen.collect()]  # names of functions, not nodes
-    for x in kept:
-        x.unpersist()
-    return nodes.sparkSession.createDataFrame(rows, "name string, distance int")
-
-
+    return seen
