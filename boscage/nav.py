@@ -90,40 +90,6 @@ def _kept(nodes: DataFrame, chosen: DataFrame, relation) -> DataFrame:
     return both.withColumn("_hit", relation(F.col("_mark"), "_mark")).where("_hit AND NOT _mark").select(columns)
 
 
-def enclosing(outer: DataFrame, inner: DataFrame, innermost: bool = True) -> DataFrame:
-    """(file_path, of, node_id): for each row of ``inner``, the innermost of ``outer`` that it lies below, or all of them.
-
-    One pass over both in pre-order with the open nodes on a stack, which is linear in
-    the rows and what comes out; a task holds no more of a tree than one path of it.
-    """
-    a = outer.select("file_path", "node_id", (F.col("node_id") + F.col("descendant_count")).alias("to"), F.lit(0).alias("kind")).distinct()
-    c = inner.select("file_path", "node_id", F.lit(None).cast("long").alias("to"), F.lit(1).alias("kind")).distinct()
-    both = a.unionByName(c).repartition("file_path").sortWithinPartitions("file_path", "node_id", F.desc("kind"))
-
-    def run(batches):
-        schema = pa.schema([("file_path", pa.string()), ("of", pa.int64()), ("node_id", pa.int64())])
-        path, open_ids, open_ends = None, [], []
-        for batch in batches:
-            paths, ofs, ids = [], [], []
-            for file, node, to, kind in zip(*(batch.column(n).to_pylist() for n in ("file_path", "node_id", "to", "kind"))):
-                if file != path:
-                    path, open_ids, open_ends = file, [], []
-                while open_ends and open_ends[-1] < node:
-                    open_ids.pop()
-                    open_ends.pop()
-                if not kind:
-                    open_ids.append(node)
-                    open_ends.append(to)
-                elif open_ids:
-                    found = open_ids[-1:] if innermost else open_ids
-                    paths += [file] * len(found)
-                    ofs += [node] * len(found)
-                    ids += found
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((paths, ofs, ids), schema)], schema=schema)
-
-    return both.mapInArrow(run, "file_path string, of long, node_id long")
-
-
 def innermost(both: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of the rows with ``_outer`` that have one with ``_inner`` below them and no other ``_outer`` between.
 
@@ -163,11 +129,9 @@ def first_below(chosen: DataFrame, found: DataFrame, *columns: str) -> DataFrame
     """``chosen`` with a struct ``_first`` of ``columns`` of the first of ``found`` below each; rows without one are left out."""
     key = F.struct(F.col("node_id").alias("at"), *columns)
     a = found.select("file_path", "node_id", key.alias("_found"))
-    c = chosen.select("file_path", "node_id", end().alias("_to")).distinct()
-    both = a.unionByName(c, allowMissingColumns=True)
+    both = chosen.withColumn("_to", end()).unionByName(a, allowMissingColumns=True)
     after = F.min("_found").over(Window.partitionBy("file_path").orderBy(F.desc("node_id")).rangeBetween(Window.unboundedPreceding, -1))
-    hit = both.withColumn("_first", after).where("_to IS NOT NULL AND _first.at <= _to").select("file_path", "node_id", "_first")
-    return chosen.join(hit, ["file_path", "node_id"])
+    return both.withColumn("_first", after).where("_to IS NOT NULL AND _first.at <= _to").select(*chosen.columns, "_first")
 
 
 def siblings_of(nodes: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -40,3 +40,32 @@ def test_texts_end_with_the_file(spark):
     said = {(r.file_path, r.start_line): r.text for r in view.texts(rows, sources).where("NOT (file_path = 'b' AND end_line = 0)").collect()}
     assert said == {("a", 1): "x\ny", ("a", 2): "y\n", ("a", 3): "", ("b", 5): "", ("c", 1): ""}
     assert [r.text for r in view.texts(rows, sources, 1).where("file_path = 'a'").orderBy("start_line").collect()] == ["x", "y", ""]
+
+
+@pytest.mark.parametrize("name,most", [("code_callers", 3), ("code_isolate", 3), ("edit_insert_after", 3)])
+def test_files_are_parsed_twice_at_most(spark, sf_dir, name, most):
+    """One of the passes in workers is no parse."""
+    assert catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= most
+
+
+def test_reached_names_stay_with_the_executors(spark, sf_dir, monkeypatch):
+    def collect(self):
+        raise AssertionError("names are collected")
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.collect", collect)
+    found = catalog.QUERIES["code_reachable"](spark, sf_dir)
+    monkeypatch.undo()
+    assert {r.distance: r.n for r in found.collect()} == {0: 1, 1: 200}
+
+
+def test_free_names_of_nested_blocks(spark):
+    from boscage.operators import isolate
+    from boscage.sources.languages import BUILT_IN
+
+    code = "import a.b, c as d; from e import (f,\n  g)\n\ndef outer(x):\n    global k\n    k = d.y(len(x), h)\n    def inner():\n        return f, g, x, a\n    return inner\n"
+    sources = spark.createDataFrame([("m.py", code)], "file_path string, text string")
+    nodes = BUILT_IN.nodes(sources)
+    said = {r["name"]: r for r in isolate.isolate(nodes, nodes.where("type = 'function_definition'"), sources).collect()}
+    first = code.split("\n")[0]
+    assert (said["outer"].params, said["outer"].builtins, said["outer"].imports) == (["h"], ["len"], [first, first + "\n  g)"])
+    assert (said["inner"].params, said["inner"].builtins) == (["x"], []) and said["inner"].body == "    def inner():\n        return f, g, x, a"
