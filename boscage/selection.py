@@ -180,11 +180,19 @@ class Selection:
 
     # --- paging, in the order of files and nodes
 
+    #: What an offset was taken of, and its rows.
+    _skipped: tuple[DataFrame, int] | None = None
+
     def limit(self, n: int) -> Selection:
-        return self._next(self.df.orderBy(*_ORDER).limit(n), "limit", n)
+        """After an offset, each task keeps the first rows of both only, and no task sorts all."""
+        df, skipped = self._skipped or (self.df, 0)
+        first = df.orderBy(*_ORDER).limit(skipped + n)
+        return self._next(first.offset(skipped) if skipped else first, "limit", n)
 
     def offset(self, n: int) -> Selection:
-        return self._next(self.df.orderBy(*_ORDER).offset(n), "offset", n)
+        out = self._next(self.df.orderBy(*_ORDER).offset(n), "offset", n)
+        out._skipped = (self.df, n)
+        return out
 
     def page(self, n: int, size: int) -> Selection:
         return self.offset(n * size).limit(size)
