@@ -30,6 +30,23 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
 
 
+#: Bytes of stored tables for each task that sorts their rows, which take some sixty times as much there.
+TASK_BYTES = 4 << 20
+
+
+def parts_of(df: DataFrame) -> int | None:
+    """How many tasks the tables behind a DataFrame need, so that a task's rows don't grow with them; None if the session's own number will do."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    n = sum(x for x in sizes if x < 1 << 60) // TASK_BYTES + 1  # what isn't stored has no size
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def sorted_apart(df: DataFrame, *key: str, parts: int | None) -> DataFrame:
+    """Rows by a key in so many parts, for windows and joins over the key; as it is without a number."""
+    return df if parts is None else df.repartition(parts, *key)
+
+
 def measuring(spark: SparkSession) -> SparkSession:
     """A session with the same settings, in which a join is broadcast only if what was written for it is small.
 

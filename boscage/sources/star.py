@@ -1,8 +1,8 @@
 """Trees of customers, their orders and the orders' lines, from a star schema.
 
 One tree ("file") for each customer. The whole numbering is windows partitioned by
-customer, so it is one shuffle of orders and lines on their way to the tree and
-never a global order.
+file, so it is one shuffle of orders and lines on their way to the tree and
+never a global order. The windows of selectors over files need no further shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import like_schema
+from .files import parts_of, sorted_apart
 
 _LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
@@ -21,12 +22,14 @@ def nodes_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read("customer").select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("name"), F.lit("customer").alias("type"), F.lit(0).alias("depth"))
     orders = read("orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("name"), F.lit("order").alias("type"), F.lit(1).alias("depth"))
     owner = read("orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("l_orderkey"))
-    lines = read("lineitem").join(owner, "l_orderkey")
+    parts = parts_of(read("customer").unionByName(read("orders"), allowMissingColumns=True).unionByName(read("lineitem"), allowMissingColumns=True))
+    lines = sorted_apart(read("lineitem"), "l_orderkey", parts=parts).join(sorted_apart(owner, "l_orderkey", parts=parts), "l_orderkey")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE))
     lines = lines.select("cust", F.col("l_orderkey").alias("ord"), place.alias("line"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("status"), F.lit("line").alias("type"), F.lit(2).alias("depth"))
     rows = customers.unionByName(orders, allowMissingColumns=True).unionByName(lines, allowMissingColumns=True)
-    rows = rows.withColumns({"ord": F.coalesce("ord", F.lit(-1)), "line": F.coalesce("line", F.lit(0))})
-    tree, order = Window.partitionBy("cust"), Window.partitionBy("cust", "ord")
+    rows = rows.withColumns({"ord": F.coalesce("ord", F.lit(-1)), "line": F.coalesce("line", F.lit(0)), "file_path": F.concat(F.lit("customer/"), F.col("cust"))})
+    rows = sorted_apart(rows, "file_path", parts=parts)
+    tree, order = Window.partitionBy("file_path"), Window.partitionBy("file_path", "ord")
     rows = rows.withColumns(
         {
             "node_id": F.row_number().over(tree.orderBy("ord", "line")) - 1,
@@ -42,7 +45,7 @@ def nodes_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = F.col("node_id") - F.col("line")  # the order's own node
     return like_schema(
         rows.select(
-            F.concat(F.lit("customer/"), F.col("cust")).alias("file_path"),
+            "file_path",
             "node_id",
             F.when(is_order, 0).when(~root, mine).alias("parent_id"),
             "depth",
