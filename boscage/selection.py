@@ -119,7 +119,7 @@ class Selection:
         return self._next(nav.semi(self.df, select(self.df, selector, self.trees.registry), "left_anti", file_path="file_path", node_id="node_id"), "not_", selector)
 
     def unique(self) -> Selection:
-        return self._next(self.df.dropDuplicates(TREE_KEY), "unique")
+        return self._next(files.sorted_apart(self.df, *TREE_KEY, parts=files.parts_of(self.df)).dropDuplicates(TREE_KEY), "unique")
 
     def at_line(self, n: int) -> Selection:
         return self._next(self.df.where((F.col("start_line") <= n) & (F.col("end_line") >= n)), "at_line", n)
