@@ -169,7 +169,7 @@ def register(add: Callable[[str, Callable, str | None], None]) -> None:
     def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="boscage-index-")
         rows = _sources(spark, sf_dir).select(F.col("file_path").alias("id"), "text", F.create_map(F.lit("kind"), F.lit("file")).alias("metadata"))
-        made = search.Collection(spark, folder, f"parts-{os.urandom(6).hex()}")
+        made = search.Collection(rows.sparkSession, folder, f"parts-{os.urandom(6).hex()}")
         made.create(rows)
         return made.search("load 7 close 77", 40, F.col("metadata")["kind"] == "file").select("id", "score")
 

@@ -23,8 +23,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(id, term, tf, length) of a table (id, text)."""
+#: Terms of texts that a task counts and sorts at once.
+TASK_TERMS = 1_000_000
+
+
+def postings(texts: DataFrame, parts: int | None = None) -> DataFrame:
+    """(id, term, tf, length) of a table (id, text); counted in so many parts."""
+    texts = texts if parts is None else texts.repartition(parts, "id")
     words = texts.select("id", terms(F.col("text")).alias("words")).withColumn("length", F.size("words"))
     return words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
@@ -85,7 +90,8 @@ class Collection:
     def create(self, rows: DataFrame) -> None:
         """Replace the collection: a new version is written beside the old one and then named, so a reader never sees a mix.
 
-        Postings are in order of terms, so a search reads the row groups that hold its terms.
+        Postings are in order of terms, so a search reads the row groups that hold its terms. Parts are
+        ranges of terms and ids, as many as there are terms for, so one that all texts have is no single task's.
         """
         if "metadata" not in rows.columns:
             rows = rows.withColumn("metadata", F.lit(None).cast("map<string,string>"))
@@ -93,8 +99,10 @@ class Collection:
         path = f"{self.path}/{uuid.uuid4().hex}"
         rows.write.parquet(path + "/texts")
         kept = self.spark.read.parquet(path + "/texts")
-        postings(kept).repartition("term").sortWithinPartitions("term").write.parquet(path + "/postings")
         statistics(kept).write.parquet(path + "/statistics")
+        said = self.spark.read.parquet(path + "/statistics").first()
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(said["n"] * (said["mean_length"] or 0)) // TASK_TERMS + 1)
+        postings(kept, parts).repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id").write.parquet(path + "/postings")
         old = self._version()
         self.spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(self.path + "/current")
         if old:
@@ -122,4 +130,5 @@ class Collection:
             found = found.join(texts.select("id"), "id", "left_semi")
         if limit is not None:
             found = found.orderBy(F.desc("score"), "id").limit(limit)
+            found = F.broadcast(found) if limit <= 10_000 else found
         return found.join(texts, "id").select("id", "text", "metadata", "score").orderBy(F.desc("score"), "id")
